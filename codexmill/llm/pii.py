@@ -31,7 +31,7 @@ PATTERNS = {
     "ipv4": rf"(?<![\p{{L}}\p{{N}}_.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}_])(?!\.\d)",
     "ssn": rf"(?<![\p{{L}}\p{{N}}_-])\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}_-])",
     "date": rf"{_NOT_BEFORE}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}}){_NOT_AFTER}",
-    "phone": rf"\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:[ .-]?\d{{2,4}}){{2,4}}{_NOT_AFTER}",
+    "phone": rf"\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{4}}{_NOT_AFTER}|\+\d{{8,15}}{_NOT_AFTER}",
     "card": rf"{_NOT_BEFORE}(?:\d{{13,19}}|\d{{4}}(?: \d{{4}}){{3}}|\d{{4}}(?:-\d{{4}}){{3}}|\d{{4}} \d{{6}} \d{{5}}|\d{{4}}-\d{{6}}-\d{{5}}){_NOT_AFTER}",
 }
 PATTERN = "|".join(PATTERNS[k] for k in KINDS)
