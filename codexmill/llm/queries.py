@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pii
+from . import bpe, exact_dedup, packing, pii
 from .shared import table
 
 
@@ -25,8 +25,24 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", *map(count, pii.KINDS))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), with_ids=False)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op5_pii": op5_pii,
+    "op6_packing": op6_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
