@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, pii
+from . import bpe, exact_dedup, langid, line_dedup, packing, pii, quality
 from .shared import table
 
 
@@ -35,18 +35,52 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    apart = langid.held_out("doc_id", 3, 1)
+    out = quality.classify(docs, labels, ~apart)
+    return out.select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, sf_dir, "pages"), line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = langid.held_out("doc_id", 4, 2)
+    out = langid.predict(docs.select("doc_id", "text"), langid.learn(docs.where(~apart)))
+    return out.select("doc_id", apart.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_langid": op4_langid,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": rf"""
+        WITH p AS (
+            SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '')) AS host,
+                list_filter(
+                    list_transform(string_split_regex(coalesce(html, ''), '{line_dedup.BREAKS}'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), chr(32) || chr(9) || chr(13) || chr(10) || chr(12))),
+                    lambda x: x <> '') AS lines
+            FROM pages),
+        t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
+        c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
+        b AS (SELECT host, list(line) AS bad FROM c JOIN t USING (host) WHERE n >= {line_dedup.MIN_PAGES} AND n > total * {line_dedup.RATIO} GROUP BY host)
+        SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text
+        FROM (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept FROM p LEFT JOIN b USING (host))
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
         g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
