@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, media_tiff, packing, pii, quality
+from . import bpe, exact_dedup, langid, line_dedup, media_tiff, ngram_join, packing, pii, quality
 from .shared import table
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.measure(media_tiff.store(table(spark, sf_dir, "documents")))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op9_media_tiff": op9_media_tiff,
     "op10_exact_dedup": op10_exact_dedup,
 }
