@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, media_tiff, ngram_join, packing, pii, quality
+from . import bpe, exact_dedup, langid, line_dedup, lm_score, media_tiff, ngram_join, packing, pii, quality
 from .shared import table
 
 
@@ -15,6 +15,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = langid.held_out("doc_id", 7, 2)
+    out = lm_score.score(table(spark, sf_dir, "documents"), ~apart)
+    return out.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.measure(media_tiff.store(table(spark, sf_dir, "documents")))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
+    "op8_lm_score": op8_lm_score,
     "op9_media_tiff": op9_media_tiff,
     "op10_exact_dedup": op10_exact_dedup,
 }
