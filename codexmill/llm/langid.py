@@ -70,7 +70,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     one = points != 0
     pair = (before != 0) | one
     # a blank inside would join two words; a pair of blanks is no n-gram
-    triple = (before != 0) & ((two_before != 0) | one)
+    triple = before != 0
     mark = np.int64(0x1FFFFF)
     first = mark << 42 | mark << 21 | points
     second = mark << 42 | before << 21 | points
