@@ -318,13 +318,13 @@ def coder(path: str) -> tuple[Ranks, Coder]:
     return ranks, Coder(ranks.encode_words)
 
 
-def chunks(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with their texts (null: empty), of about CHUNK_BYTES each."""
+def chunks(batch: pa.RecordBatch, text_col: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts (null: empty), of about ``size`` bytes each; a longer text is a slice."""
     column = batch.column(batch.schema.get_field_index(text_col))
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     if not len(sizes):
         return
-    part = (np.cumsum(sizes) - sizes) // CHUNK_BYTES
+    part = (np.cumsum(sizes) - sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         piece = batch.slice(a, b - a)
