@@ -241,7 +241,7 @@ def test_language_model(spark, odd):
     want = []
     for t in texts:
         b = bytes(lm_score.DEPTH) + t.lower().encode() + b"\0"
-        want += [int.from_bytes(b[i : i + lm_score.DEPTH + 1], "big") for i in range(len(b) - lm_score.DEPTH)]
+        want += [int.from_bytes(b[i : i + lm_score.DEPTH][::-1] + b[i + lm_score.DEPTH :][:1], "big") for i in range(len(b) - lm_score.DEPTH)]
     assert gram.tolist() == want and ends.tolist() == [1, 3, 44, 48]
     import math
     from collections import Counter
@@ -273,12 +273,12 @@ def test_context_tree_by_brute_force(spark):
         for b in range(8):
             prefix = (1 << b) | (g & 255) >> (8 - b)
             for d in range(depth + 1):
-                bits.setdefault((d, g >> 8 & ((1 << 8 * d) - 1), prefix), [0, 0])[g >> (7 - b) & 1] += 1
+                bits.setdefault((d, g >> 8 >> 8 * (depth - d), prefix), [0, 0])[g >> (7 - b) & 1] += 1
     kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
     children = {}
     for d, c, p in bits:
         if d:
-            children.setdefault((d - 1, c & ((1 << 8 * (d - 1)) - 1), p), []).append((d, c, p))
+            children.setdefault((d - 1, c >> 8, p), []).append((d, c, p))
     stop = {}
 
     def weighted(node):
@@ -297,7 +297,7 @@ def test_context_tree_by_brute_force(spark):
         for b in range(8):
             prefix, left, one = (1 << b) | (g & 255) >> (8 - b), 1.0, 0.0
             for d in range(depth + 1):
-                node = (d, g >> 8 & ((1 << 8 * d) - 1), prefix)
+                node = (d, g >> 8 >> 8 * (depth - d), prefix)
                 z, o = bits[node]
                 one += left * stop[node] * (o + 0.5) / (z + o + 1)
                 left *= 1 - stop[node]
