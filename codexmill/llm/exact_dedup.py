@@ -97,6 +97,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     same = materialize(text_identities(docs, id_col, text_col, block_bytes), "identities")
     groups = same.groupBy("n_bytes", "name").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = materialize(groups, "groups")  # stored, so that the join's shuffles stand alone and a hot group is split
     rows = same.join(groups, ["n_bytes", "name"])
     rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return rows.select(
