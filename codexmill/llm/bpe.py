@@ -28,10 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts are handled in chunks of about so many bytes.
-CHUNK_BYTES = 4 << 20
+#: Texts are handled in chunks of about so many bytes; workers live on from stage to stage, and so does the memory of the largest.
+CHUNK_BYTES = 1 << 20
 #: The cache holds up to twice so many words: when the younger half is full, the older goes.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 160_000
 #: Longer words are merged one by one with a heap.
 WIDE = 48
 
@@ -345,7 +345,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, encoder = coder(path)
         for batch in batches:
-            for piece, texts in chunks(batch):
+            for piece, texts in chunks(batch, size=2 * CHUNK_BYTES):  # words repeat within a chunk
                 ids, ends = encoder(texts)
                 data, byte_ends = ranks.decode(ids)
                 byte_ends = np.concatenate([[0], byte_ends])

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .bpe import chunks
 
 PROFILE = 400
+#: N-grams of a language that a task sums up before it sends them.
+HELD = 200_000
 UNDETERMINED = "und"
 #: A document whose mean distance to the best profile is over this share of the largest is in no known language.
 REJECT_ABOVE = 0.9
@@ -88,12 +90,25 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     """Profiles from all rows with a language: n-gram codes, the most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def rows(lang: str) -> pa.RecordBatch:
+            codes, n = held.pop(lang)
+            return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": pa.array(codes), "n": pa.array(n)})
+
         for batch in batches:
             for piece, texts in chunks(batch):
                 langs = piece.column(1).to_pylist()
                 for lang in sorted(set(langs)):
                     codes, n = np.unique(ngrams([t for t, x in zip(texts, langs, strict=True) if x == lang])[0], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(codes), pa.string()), "code": pa.array(codes), "n": pa.array(n)})
+                    if lang in held:
+                        codes, at = np.unique(np.concatenate([held[lang][0], codes]), return_inverse=True)
+                        n = np.bincount(at, np.concatenate([held[lang][1], n])).astype(np.int64)
+                    held[lang] = codes, n
+                    if len(codes) > HELD:
+                        yield rows(lang)
+        for lang in list(held):
+            yield rows(lang)
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = rows.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))

@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
         for batch in batches:
-            for piece, texts in bpe.chunks(batch):
+            for piece, texts in bpe.chunks(batch, size=2 * bpe.CHUNK_BYTES):
                 row, start, size, crc, whole = [], [], [], [], []
                 for i, ids in enumerate(encode(texts)):
                     data = ids.tobytes() + end
