@@ -45,6 +45,8 @@ BUCKET = 1 << 19
 #: Elements in a block of a group, about.
 BLOCK = 3 << 20
 LEADERS = 16
+#: Bytes of text that are handled at once.
+SLICE = 2 << 20
 #: log2 of the bits in a bitmap (2 MB).
 BITS = 24
 _SURE = 1 << 20
@@ -53,7 +55,7 @@ _POSTING = np.dtype([("element", "<u8"), ("cls", "<u8"), ("n", "<u4")])
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
     """(rows, their sets, their class keys) of each slice of a batch."""
-    for piece, texts in chunks(batch):
+    for piece, texts in chunks(batch, size=SLICE):
         flat, ends = shingles.sets(texts)
         upto = np.concatenate([[0], ends])
         spread = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
@@ -351,6 +353,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ties = linked(materialize(kept_sets(docs, groups, text_col), "sets"), block)
     of = rows.join(ties.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = of.where("n_shingles > 0").groupBy("component").agg(F.min(id_col).alias("component_id"))
+    least = materialize(least, "least")  # stored, so that the join's shuffles stand alone and a hot component is split
     out = of.where("n_shingles > 0").join(least, "component").select(id_col, "n_shingles", "component_id")
     return out.unionByName(of.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id")))
 
