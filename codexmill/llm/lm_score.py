@@ -8,10 +8,13 @@ share with which the mixture stops at the node.
 
 Counts of (context, byte) grams of all training texts are added up by a shuffle. Trees are
 weighted from their deepest nodes: down to CROWN bytes in buckets of contexts, whose number
-follows the number of grams, and from there on by sums over children. A node that holds less
-than the share EPSILON of all training bytes is folded into its parent, so that at most
-1 / EPSILON nodes of each depth and bit are left, whatever the corpus: that bound allows
-the model to be broadcast.
+follows the number of grams, and from there on by sums over children. All nodes are kept. Only
+those above CROWN, contexts of fewer than CROWN bytes, are gathered and broadcast; the deeper
+ones stay in their buckets, where each distinct gram of all texts gets its score once.
+
+Texts are sums over their grams' scores. The most frequent grams, at most HOT of them, are
+looked up in place; all others are joined to their scores by a shuffle. That changes where
+a score is read, not what it is.
 
 The base score is that of a unigram model with counts plus one. Words above the share
 EPSILON_WORDS of tokens, at most 1 / EPSILON_WORDS of them, are looked up in place; all
@@ -21,11 +24,12 @@ others are joined to their counts by a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import words
@@ -36,10 +40,11 @@ DEPTH = 6
 CROWN = 3
 #: Grams in a bucket of contexts, about.
 BUCKET = 200_000
-EPSILON = 2.0**-19
+#: Grams that are looked up in place, at most.
+HOT = 1 << 21
 EPSILON_WORDS = 2.0**-18
-#: Places in a worker's cache of gram scores.
-CACHE = 1 << 21
+#: log2 of the places in a worker's table of gram scores.
+PLACES = 22
 #: Bytes of text and grams handled at once, and rows that a task sums up before it sends them.
 SLICE, MISSES, HELD = 1 << 19, 1 << 16, 400_000
 GRAM, WORD, TEXTS, TOKENS = range(4)
@@ -73,25 +78,31 @@ def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, key, n): grams, hashes of words, and the numbers of texts and tokens of ``docs``."""
+def count(docs: DataFrame, text_col: str = "text", learn_from: Column | None = None) -> DataFrame:
+    """(kind, key, n): grams, hashes of words, and the numbers of texts and tokens of the rows that are learnt from.
+
+    Grams of the other rows are there too, with n = 0 unless they are learnt as well.
+    """
 
     def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key), "n": pa.array(n)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _scorers.clear()  # a worker may have scored with an older model
+        _tables.clear()  # a worker may have scored with an older model
         held: dict[int, tuple[list, list]] = {GRAM: ([], []), WORD: ([], [])}
         texts_seen = tokens = 0
         for batch in batches:
-            for _, texts in chunks(batch, size=SLICE):
+            for piece, texts in chunks(batch, size=SLICE):
+                learnt = piece.column(piece.schema.get_field_index("learnt")).to_pylist()
+                other = [t for t, ok in zip(texts, learnt) if not ok]
+                texts = [t for t, ok in zip(texts, learnt) if ok]
                 w = words.split(texts)
                 texts_seen += len(texts)
                 tokens += len(texts) + len(w.starts)
-                for kind, values in ((GRAM, grams(texts)[0]), (WORD, words.hashes(w).view(np.int64))):
+                for kind, values, weight in ((GRAM, grams(texts)[0], 1), (GRAM, grams(other)[0], 0), (WORD, words.hashes(w).view(np.int64), 1)):
                     key, n = np.unique(values, return_counts=True)
                     held[kind][0].append(key)
-                    held[kind][1].append(n)
+                    held[kind][1].append(n * weight)
                     if sum(map(len, held[kind][0])) > 2 * HELD:
                         key, n = _sum_up(*held[kind])
                         held[kind] = ([key], [n])
@@ -105,7 +116,8 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
         yield rows(TOKENS, np.zeros(1, np.int64), np.array([tokens]))
         pa.default_memory_pool().release_unused()
 
-    dealt = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "kind int, key bigint, n bigint")
+    learnt = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
+    dealt = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"), learnt.alias("learnt")).mapInArrow(run, "kind int, key bigint, n bigint")
     return dealt.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -170,28 +182,29 @@ class Model(NamedTuple):
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
         """Log10 probability of the last byte of each gram after the others; grams are sorted."""
+        return sum((self.bit(gram, b) for b in range(8)), np.zeros(len(gram)))
+
+    def bit(self, gram: np.ndarray, b: int) -> np.ndarray:
+        """Log10 probability of bit ``b`` of the last byte; only nodes of that bit are looked up."""
         if len(gram) > MISSES:
-            return np.concatenate([self.log10(gram[i : i + MISSES]) for i in range(0, len(gram), MISSES)])
-        out = np.zeros(len(gram))
-        for b in range(8):
-            # sorted grams have equal decisions side by side: each is looked up once
-            decision = gram >> (8 - b)
-            first = np.flatnonzero(np.concatenate([[True], decision[1:] != decision[:-1]]))
-            node_of = gram[first] >> 8 << 8 | 1 << b | (gram[first] & 255) >> (8 - b)
-            left, mixture, last, live = np.ones(len(first)), np.zeros(len(first)), np.full(len(first), 0.5), np.arange(len(first))
-            for depth, (node, one, stop) in enumerate(zip(*self, strict=True)):
-                if not len(node) or not len(live):
-                    break
-                key = shorter(node_of[live], DEPTH - depth) if depth < DEPTH else node_of[live]
-                at = np.minimum(np.searchsorted(node, key), len(node) - 1)
-                there = node[at] == key
-                live, at = live[there], at[there]
-                last[live] = one[at]
-                mixture[live] += left[live] * stop[at] * one[at]
-                left[live] *= 1.0 - stop[at]
-            mixture = np.repeat(mixture + left * last, np.diff(np.append(first, len(gram))))
-            out += np.log10(np.where(gram >> (7 - b) & 1, mixture, 1 - mixture))
-        return out
+            return np.concatenate([self.bit(gram[i : i + MISSES], b) for i in range(0, len(gram), MISSES)])
+        # sorted grams have equal decisions side by side: each is looked up once
+        decision = gram >> (8 - b)
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(gram)), bool), decision[1:] != decision[:-1]]))
+        node_of = gram[first] >> 8 << 8 | 1 << b | (gram[first] & 255) >> (8 - b)
+        left, mixture, last, live = np.ones(len(first)), np.zeros(len(first)), np.full(len(first), 0.5), np.arange(len(first))
+        for depth, (node, one, stop) in enumerate(zip(*self, strict=True)):
+            if not len(node) or not len(live):
+                break
+            key = shorter(node_of[live], DEPTH - depth) if depth < DEPTH else node_of[live]
+            at = np.minimum(np.searchsorted(node, key), len(node) - 1)
+            there = node[at] == key
+            live, at = live[there], at[there]
+            last[live] = one[at]
+            mixture[live] += left[live] * stop[at] * one[at]
+            left[live] *= 1.0 - stop[at]
+        mixture = np.repeat(mixture + left * last, np.diff(np.append(first, len(gram))))
+        return np.log10(np.where(gram >> (7 - b) & 1, mixture, 1 - mixture))
 
 
 NODE = "depth int, node bigint, zeros bigint, ones bigint, stop double, weighted double"
@@ -205,34 +218,44 @@ def _crown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(stop), pa.array(weighted)], names=["depth", "node", "zeros", "ones", "stop", "weighted"])
 
 
-def learn(counts: DataFrame, epsilon: float = EPSILON) -> Model:
-    """The model from a stored table of counts; at most 1 / epsilon nodes of each depth and bit reach the driver."""
+def _dealt(counts: DataFrame) -> GroupedData:
+    """(key, n) of all grams, grouped into buckets by the CROWN bytes before the last."""
     all_grams = counts.where(F.col("kind") == GRAM)
-    total = all_grams.agg(F.sum("n"), F.count("n")).first()
-    floor, buckets = (total[0] or 0) * epsilon, max(16, total[1] // BUCKET)
+    buckets = max(16, all_grams.count() // BUCKET)
+    context = F.shiftright("key", 8 * (DEPTH - CROWN) + 8)
+    return all_grams.select(F.pmod(F.xxhash64(context), F.lit(buckets)).alias("bucket"), "key", "n").groupBy("bucket")
+
+
+def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key, n = rows["key"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def learn(counts: DataFrame, deepest: int = DEPTH) -> Model:
+    """The nodes of depth 0 to ``deepest``, from a stored table of counts, in the driver.
+
+    Nodes above CROWN are as many as there are contexts of fewer than CROWN bytes; a
+    greater depth grows with the corpus and is meant for small ones.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows["key"].to_numpy())
-        parts = []
-        for part in weigh(rows["key"].to_numpy()[order], rows["n"].to_numpy()[order]):
-            keep = (part[2] + part[3] >= floor) | (part[0] == CROWN)
-            parts.append([c[keep] for c in part])
+        key, n = _sorted(rows)
+        parts = [[c[:0] for c in (np.zeros(0, np.int32), key, n, n, np.zeros(0), np.zeros(0))]]
+        parts += [part for part in weigh(key[n > 0], n[n > 0]) if part[0][0] <= max(deepest, CROWN)] if n.any() else []
         return pa.table({k: pa.array(np.concatenate(v)) for k, v in zip(("depth", "node", "zeros", "ones", "stop", "weighted"), zip(*parts), strict=True)})
 
-    context = F.shiftright("key", 8 * (DEPTH - CROWN) + 8)
-    dealt = all_grams.select(F.pmod(F.xxhash64(context), F.lit(buckets)).alias("bucket"), "key", "n").groupBy("bucket")
-    nodes = materialize(dealt.applyInArrow(lambda t: run(t), NODE), "lm-nodes")
+    nodes = materialize(_dealt(counts).applyInArrow(lambda t: run(t), NODE), "lm-nodes")
     level = nodes.where(F.col("depth") == CROWN)
     for depth in range(CROWN - 1, -1, -1):
         parent = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(255))
         sums = level.groupBy(parent.alias("parent")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("split"))
         level = materialize(sums.select(F.lit(depth).alias("depth"), F.col("parent").alias("node"), "zeros", "ones", "split").mapInArrow(_crown, NODE), "lm-nodes")
         nodes = nodes.unionByName(level)
-    one = ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)).cast("float")
-    rows = nodes.where(F.col("zeros") + F.col("ones") >= floor).select("depth", "node", one.alias("one"), F.col("stop").cast("float").alias("stop")).toArrow()
+    rows = nodes.where(F.col("depth") <= deepest).select("depth", "node", ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)).alias("one"), "stop").toArrow()
     depths, node = rows["depth"].to_numpy(), rows["node"].to_numpy()
     out = Model([], [], [])
-    for depth in range(DEPTH + 1):
+    for depth in range(deepest + 1):
         at = np.flatnonzero(depths == depth)
         at = at[np.argsort(node[at])]
         for column, values in zip(out, (node, rows["one"].to_numpy(), rows["stop"].to_numpy()), strict=True):
@@ -240,27 +263,67 @@ def learn(counts: DataFrame, epsilon: float = EPSILON) -> Model:
     return out
 
 
-class Scorer:
-    """A model with a cache: one place for each hash of a gram."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.key, self.value = model, np.full(CACHE, -1, np.int64), np.zeros(CACHE)
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """(gram, n, value): the log10 probability of each distinct gram of ``counts``, by the nodes of all depths."""
+    sent = counts.sparkSession.sparkContext.broadcast(learn(counts, CROWN - 1))
 
-    def __call__(self, gram: np.ndarray) -> np.ndarray:
-        place = (words.mix(gram.view(np.uint64)) % np.uint64(CACHE)).astype(np.int64)
-        out = self.value[place]
-        miss = np.flatnonzero(self.key[place] != gram)
-        if len(miss):
-            new, index = np.unique(gram[miss], return_inverse=True)
-            value = self.model.log10(new)
-            out[miss] = value[index]
-            spot = (words.mix(new.view(np.uint64)) % np.uint64(CACHE)).astype(np.int64)
-            self.key[spot] = new  # of two with one place the last stays, in both arrays
-            self.value[spot] = value
-        return out
-
-
-_scorers: dict[str, Scorer] = {}
+    def run(rows: pa.Table) -> pa.Table:
+        key, n = _sorted(rows)
+        crown, value = sent.value, np.zeros(len(key))
+        parts = weigh(key[n > 0], n[n > 0]) if n.any() else iter(())
+        for b in range(8):
+            # the trees of a bit, from their deepest nodes
+            deep = [(node, (ones + 0.5) / (zeros + ones + 1.0), stop) for _, node, zeros, ones, stop, _ in islice(parts, DEPTH - CROWN + 1)][::-1]
+            value += Model(*([*top, *more] for top, more in zip(crown, zip(*deep) if deep else ((), (), ())))).bit(key, b)
+        return pa.table({"gram": pa.array(key), "n": pa.array(n), "value": pa.array(value)})
+
+    return materialize(_dealt(counts).applyInArrow(lambda t: run(t), "gram bigint, n bigint, value double"), "lm-grams")
+
+
+def most_frequent(all_grams: DataFrame) -> DataFrame:
+    """At most HOT rows of ``all_grams``: those above some number of occurrences in training texts."""
+    level = F.floor(8 * F.log2("n"))
+    learnt = all_grams.where("n > 0")
+    left, least = HOT, None
+    for r in learnt.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    return learnt.where(F.lit(False) if least is None else level >= least)
+
+
+class Table:
+    """Scores of frequent grams: two places for each gram; those that find none are left out."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray) -> None:
+        """Grams come in rising order of frequency."""
+        self.key, self.value = np.full(1 << PLACES, -1, np.int64), np.zeros(1 << PLACES)
+        for turn in range(2):
+            place = self._place(gram, turn)
+            free = self.key[place] == -1
+            self.key[place[free]] = gram[free]  # of two with one place the last stays, in both arrays
+            self.value[place[free]] = value[free]
+            out = self.key[place] != gram
+            gram, value = gram[out], value[out]
+
+    @staticmethod
+    def _place(gram: np.ndarray, turn: int) -> np.ndarray:
+        mixed_up = words.mix(gram.view(np.uint64))
+        return ((mixed_up << np.uint64(PLACES * turn)) >> np.uint64(64 - PLACES)).astype(np.int64)
+
+    def __call__(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which grams are in the table, their values and zeros)."""
+        there, value = np.zeros(len(gram), bool), np.zeros(len(gram))
+        for turn in range(2):
+            open_ = np.flatnonzero(~there)
+            place = self._place(gram[open_], turn)
+            hit = self.key[place] == gram[open_]
+            there[open_[hit]], value[open_[hit]] = True, self.value[place[hit]]
+        return there, value
+
+
+_tables: dict[str, Table] = {}
 
 
 def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,8 +335,11 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     one by one; other columns are read only by ``learn_from``.
     """
     spark = docs.sparkSession
-    counts = materialize(count(docs.where(learn_from), text_col), "lm-counts")
-    model = learn(counts)
+    counts = materialize(count(docs, text_col, learn_from), "lm-counts")
+    all_grams = gram_scores(counts)
+    frequent = most_frequent(all_grams).toArrow()
+    order = np.argsort(frequent["n"].to_numpy(), kind="stable")
+    hot, hot_value = frequent["gram"].to_numpy()[order], frequent["value"].to_numpy()[order]
     sums = {(r["kind"]): r["n"] for r in counts.where(F.col("kind").isin(TEXTS, TOKENS)).collect()}
     train_texts, train_tokens = sums.get(TEXTS, 0), sums.get(TOKENS, 0)
     all_words = counts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
@@ -281,24 +347,26 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     often = all_words.where(F.col("c") >= max(1.0, train_tokens * EPSILON_WORDS)).toArrow()
     order = np.argsort(often["word"].to_numpy())
     known, gain = often["word"].to_numpy()[order], np.log10(often["c"].to_numpy()[order] + 1.0)
-    sent = spark.sparkContext.broadcast((model, known, gain))  # both bounded by EPSILON and EPSILON_WORDS
+    sent = spark.sparkContext.broadcast((hot, hot_value, known, gain))  # bounded by HOT and EPSILON_WORDS
     name = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id() if sent._jbroadcast is not None else id(sent)}"
     end_gain, end_known = float(np.log10(train_texts + 1.0)), int(train_texts > 0)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, gain double, score double, rare array<bigint>"
+    schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, gain double, score double, rare array<bigint>, rare_grams array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, gain = sent.value
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(model)
-        scorer = _scorers[name]
+        hot, hot_value, known, gain = sent.value
+        if name not in _tables:
+            _tables.clear()
+            _tables[name] = Table(hot, hot_value)
+        scores = _tables[name]
         for batch in batches:
             for piece, texts in chunks(batch, size=SLICE):
                 n = len(texts)
                 gram, ends = grams(texts)
                 starts = np.concatenate([[0], ends[:-1]])
-                total = np.add.reduceat(scorer(gram), starts)
+                found, value = scores(gram)
+                total = np.add.reduceat(value, starts)
+                grams_upto = np.concatenate([[0], np.cumsum(np.add.reduceat((~found).astype(np.int64), starts))])
                 w = words.split(texts)
                 h = words.hashes(w).view(np.int64)
                 if len(known):
@@ -312,6 +380,7 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
                     id_col: piece.column(0), "n_bytes": pa.array(ends - starts - 1), "n_tokens": pa.array(w.counts + 1),
                     "n_known": pa.array(np.bincount(w.owner[there], minlength=n) + end_known), "gain": pa.array(more + end_gain), "score": pa.array(total),
                     "rare": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(h[~there])),
+                    "rare_grams": pa.ListArray.from_arrays(pa.array(grams_upto, pa.int32()), pa.array(gram[~found])),
                 })
         pa.default_memory_pool().release_unused()
 
@@ -319,7 +388,9 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
     asked = scored.select("_row", F.explode("rare").alias("word"))
     found = asked.join(all_words, "word").groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count(F.lit(1)).alias("also"))
-    out = scored.drop("rare").join(found, "_row", "left")
+    asked = scored.select("_row", F.explode("rare_grams").alias("gram"))
+    summed = asked.join(all_grams, "gram").groupBy("_row").agg(F.sum("value").alias("deep"))
+    out = scored.drop("rare", "rare_grams").join(found, "_row", "left").join(summed, "_row", "left").withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
     base = F.col("gain") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(train_tokens + distinct + 1.0))
     return out.select(
         id_col, "n_bytes", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),

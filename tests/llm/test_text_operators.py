@@ -305,6 +305,20 @@ def test_context_tree_by_brute_force(spark):
         assert math.isclose(model.log10(np.array([g]))[0], want, rel_tol=1e-4)
 
 
+@pytest.mark.parametrize("hot", [lm_score.HOT, 20, 0])
+def test_language_model_keeps_rare_contexts(spark, hot, monkeypatch):
+    """A context seen once among a million bytes stays in the model, and scores are those of the whole model."""
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    texts = [(i, "ab " * 7000 + str(i), True) for i in range(60)] + [(60, "qzx vjk wqp", True), (61, "qzx vjk wq", False), (62, "kkk ü", None)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string, learnt boolean").repartition(4)
+    model = lm_score.learn(lm_score.materialize(lm_score.count(docs.where("learnt")), "t"))
+    rare = np.sort(lm_score.grams([texts[60][1]])[0])
+    assert np.isin(rare >> 8 << 8 | 1, model.node[lm_score.DEPTH]).all()
+    got = {r.doc_id: r.score for r in lm_score.score(docs, F.col("learnt")).collect()}
+    for i in (0, 60, 61, 62):
+        assert np.isclose(got[i], model.log10(np.sort(lm_score.grams([texts[i][1]])[0])).sum(), rtol=1e-9)
+
+
 def test_tiff_codecs_and_layouts():
     rnd = random.Random(3)
     for n in (0, 1, 300, 9000):
