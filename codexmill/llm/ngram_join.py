@@ -107,6 +107,14 @@ def _parts(values: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
         yield b, part
 
 
+def _chain_parts(chain: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, pairs) by a hash of the pair, so that no bucket gets the chains of all classes."""
+    pairs = np.unique(np.sort(chain.astype("<u8"), axis=1), axis=0)
+    bucket = (words.mix(pairs[:, 0] ^ words.mix(pairs[:, 1])) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(pairs), np.int64)
+    for b in np.unique(bucket).tolist():
+        yield b, pairs[bucket == b]
+
+
 def frequent(docs: DataFrame, bits: int, text_col: str) -> np.ndarray:
     """A bitmap of the elements that more than LIST classes hold."""
 
@@ -159,7 +167,7 @@ def candidates(docs: DataFrame, bits: int, often: np.ndarray, text_col: str) ->
                 # LIST + 1 stay, so that the list is seen to be long in its bucket as well
                 place = np.arange(len(values)) - np.repeat(first, size)
                 rows = [(b, p.tobytes(), b"") for b, p in _parts(values[lone | (place <= LIST)], bits)]
-                rows.append((0, b"", chain.astype("<u8").tobytes()))
+                rows += [(b, b"", p.tobytes()) for b, p in _chain_parts(chain, bits)]
                 yield pa.RecordBatch.from_pydict({n: pa.array(v, t) for n, v, t in zip(("bucket", "data", "chain"), zip(*rows), (pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     def pair(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:

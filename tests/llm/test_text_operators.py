@@ -221,6 +221,21 @@ def test_jaccard_components_of_a_large_group(spark, block):
     assert got == H.jaccard_components(rows)
 
 
+def test_chains_of_near_copies_are_dealt_over_buckets(spark, monkeypatch):
+    """Chains of a large group reach many buckets, not one task."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(40)) + f" x{i}") for i in range(400)], "doc_id int, text string").coalesce(1)
+    seen, kept = [], type(docs).groupBy
+
+    def spy(self, *keys):
+        if keys == ("bucket",) and "chain" in self.columns:
+            seen.extend(r.bucket for r in self.where("length(chain) > 0").collect())
+        return kept(self, *keys)
+
+    monkeypatch.setattr(type(docs), "groupBy", spy)
+    ngram_join.candidates(docs, 6, np.zeros(1 << (ngram_join.BITS - 6), np.uint64), "text")
+    assert len(set(seen)) > 16
+
+
 def test_jaccard_odd_rows(spark, odd):
     out = ngram_join.jaccard_components(odd).collect()
     assert len(out) == len(H.odd_rows()) and all(r.component_id == r.doc_id for r in out if r.n_shingles == 0)
