@@ -16,8 +16,8 @@ all sets: elements in more than LIST sets come last, and all others go by their
    the best-connected one are not searched for again, since their partners search for them.
 
 Large groups are searched in blocks: every block by itself, then a few leaders in all
-blocks, and then only what those haven't tied to the main component in all blocks. So no
-list, group of copies or component is gathered in a task, and no link is lost.
+blocks, and then only what those haven't tied to the main component in all blocks. What is
+asked is dealt into blocks too, so a task holds two blocks, about, at most. So no list, group of copies or component is gathered in a task, and no link is lost.
 """
 
 from __future__ import annotations
@@ -308,7 +308,7 @@ def _search(rows: pa.Table) -> pa.Table:
 
 
 def _links(blocks: DataFrame) -> DataFrame:
-    return blocks.select("grp", "block", "cls", "comp", "asks", "data").groupBy("grp", "block").applyInArrow(_search, "a bigint, b bigint")
+    return blocks.select("grp", "block", "guest", "cls", "comp", "asks", "data").groupBy("grp", "block", "guest").applyInArrow(_search, "a bigint, b bigint")
 
 
 def linked(sets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -316,7 +316,7 @@ def linked(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = sets.groupBy("grp").agg(F.sum("n").alias("all"))
     cut = sets.join(sizes, "grp").withColumn("blocks", F.expr(f"cast((all + {block} - 1) div {block} as int)"))
     cut = cut.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), F.col("blocks"))).otherwise(0).cast("int")).drop("all")
-    found = materialize(_links(cut.select("*", F.col("cls").alias("comp"), F.lit(True).alias("asks"))), "links")
+    found = materialize(_links(cut.select("*", F.lit(0).alias("guest"), F.col("cls").alias("comp"), F.lit(True).alias("asks"))), "links")
     large = cut.where("blocks > 1")
     if not large.limit(1).count():
         return components(found)
@@ -328,6 +328,9 @@ def linked(sets: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def asked(now: DataFrame, who: DataFrame) -> DataFrame:
         """Links between ``who`` and all blocks of their groups but their own."""
+        parts = who.groupBy("grp").agg(F.expr(f"cast((sum(n) + {block} - 1) div {block} as int)").alias("parts"))
+        who = who.join(parts, "grp").withColumn("guest", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int")).drop("parts")
+        now = now.join(parts, "grp").withColumn("guest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         guests = who.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         guests = guests.where("block <> home").drop("home").withColumn("asks", F.lit(True))
         return materialize(_links(now.withColumn("asks", F.lit(False)).unionByName(guests)), "links")

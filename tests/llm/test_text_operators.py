@@ -236,6 +236,22 @@ def test_chains_of_near_copies_are_dealt_over_buckets(spark, monkeypatch):
     assert len(set(seen)) > 16
 
 
+def test_tasks_of_an_untied_group_hold_two_blocks(spark, monkeypatch):
+    """Documents that share a passage but don't link make one group; no task gets all of it."""
+    rows = [(i, " ".join([f"w{k}" for k in range(60)] + [f"x{i}y{k}" for k in range(12)])) for i in range(40)]
+    links, most = ngram_join._links, []
+
+    def spy(blocks):
+        keys = [k for k in ("grp", "block", "guest") if k in blocks.columns]
+        most.append(blocks.groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+        return links(blocks)
+
+    monkeypatch.setattr(ngram_join, "_links", spy)
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id int, text string"), block=300).collect()
+    assert all(r.component_id == r.doc_id for r in out) and len(most) == 3
+    assert max(most) < 40 * 68 * 3 // 4
+
+
 def test_jaccard_odd_rows(spark, odd):
     out = ngram_join.jaccard_components(odd).collect()
     assert len(out) == len(H.odd_rows()) and all(r.component_id == r.doc_id for r in out if r.n_shingles == 0)
