@@ -88,7 +88,6 @@ def count(docs: DataFrame, text_col: str = "text", learn_from: Column | None = N
         return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(key), kind, np.int32)), "key": pa.array(key), "n": pa.array(n)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _tables.clear()  # a worker may have scored with an older model
         held: dict[int, tuple[list, list]] = {GRAM: ([], []), WORD: ([], [])}
         texts_seen = tokens = 0
         for batch in batches:
@@ -294,7 +293,7 @@ def most_frequent(all_grams: DataFrame) -> DataFrame:
 
 
 class Table:
-    """Scores of frequent grams: two places for each gram; those that find none are left out."""
+    """Scores of frequent grams, of a fixed size: two places for each gram; those that find none are left out."""
 
     def __init__(self, gram: np.ndarray, value: np.ndarray) -> None:
         """Grams come in rising order of frequency."""
@@ -323,9 +322,6 @@ class Table:
         return there, value
 
 
-_tables: dict[str, Table] = {}
-
-
 def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -347,18 +343,13 @@ def score(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col:
     often = all_words.where(F.col("c") >= max(1.0, train_tokens * EPSILON_WORDS)).toArrow()
     order = np.argsort(often["word"].to_numpy())
     known, gain = often["word"].to_numpy()[order], np.log10(often["c"].to_numpy()[order] + 1.0)
-    sent = spark.sparkContext.broadcast((hot, hot_value, known, gain))  # bounded by HOT and EPSILON_WORDS
-    name = f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id() if sent._jbroadcast is not None else id(sent)}"
+    sent = spark.sparkContext.broadcast((Table(hot, hot_value), known, gain))  # bounded by PLACES and EPSILON_WORDS
     end_gain, end_known = float(np.log10(train_texts + 1.0)), int(train_texts > 0)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, gain double, score double, rare array<bigint>, rare_grams array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_value, known, gain = sent.value
-        if name not in _tables:
-            _tables.clear()
-            _tables[name] = Table(hot, hot_value)
-        scores = _tables[name]
+        scores, known, gain = sent.value
         for batch in batches:
             for piece, texts in chunks(batch, size=SLICE):
                 n = len(texts)
