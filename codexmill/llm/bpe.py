@@ -40,6 +40,15 @@ WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233,
 #: Letters after an apostrophe that form a token with it.
 SUFFIX_1, SUFFIX_2 = "stmd", ("re", "ve", "ll")
 
+# Letters and numbers that Unicode 16 added, first and last of each range. The tokenizer libraries
+# know them, while Python's own tables may be older.
+ADDED_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+ADDED_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+
 LETTER, NUMBER, OTHER, APOS_1, APOS_2, SPACE_IN, SPACE_END, BLANK, EDGE = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, AFTER_BLANK, TAKE_1, TAKE_2 = range(8)
 
@@ -52,6 +61,9 @@ def classes() -> np.ndarray:
     kinds = np.array(kinds)
     out[kinds == "L"] = LETTER
     out[kinds == "N"] = NUMBER
+    for kind, ranges in ((LETTER, ADDED_LETTERS), (NUMBER, ADDED_NUMBERS)):
+        for first, last in ranges:
+            out[first : last + 1] = kind
     out[WHITE] = SPACE_IN
     return out
 
@@ -174,9 +186,9 @@ def words(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class Ranks:
     """A byte-level vocabulary: bytes of each id, and which adjacent pairs merge to which id."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as lines:
-            self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, ids: dict[bytes, int], pairs: dict[int, int]) -> None:
+        """``ids`` of tokens rise with their rank; ``pairs`` maps left id << 32 | right id to the id they merge to."""
+        self.ids, self.pairs = ids, pairs
         tokens = [b""] * (max(self.ids.values()) + 1)
         for token, i in self.ids.items():
             tokens[i] = token
@@ -184,16 +196,23 @@ class Ranks:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.byte = np.array([self.ids[bytes([i])] for i in range(256)], np.int32)
-        self.pairs = {}
-        for token, i in self.ids.items():
-            for cut in range(1, len(token)):
-                a, b = self.ids.get(token[:cut]), self.ids.get(token[cut:])
-                if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = i
         keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
         order = np.argsort(keys)
         self.keys, self.merged = keys[order], np.fromiter(self.pairs.values(), np.int32, len(keys))[order]
 
+    @classmethod
+    def read(cls, path: str) -> Ranks:
+        """From lines of a token in base64 and its rank; any two tokens merge to a third that they make up."""
+        with open(path, "rb") as lines:
+            ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        pairs = {}
+        for token, i in ids.items():
+            for cut in range(1, len(token)):
+                a, b = ids.get(token[:cut]), ids.get(token[cut:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = i
+        return cls(ids, pairs)
+
     NONE = 1 << 30
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -314,7 +333,7 @@ class Coder:
 @lru_cache(maxsize=2)
 def coder(path: str) -> tuple[Ranks, Coder]:
     """One per Python worker."""
-    ranks = Ranks(path)
+    ranks = Ranks.read(path)
     return ranks, Coder(ranks.encode_words)
 
 

@@ -12,9 +12,10 @@ makes one group large, and work grows in proportion to the number of documents.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,51 +32,88 @@ END_ID = 1
 GROUP_ITEMS = 8192
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes stand for themselves, others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def read_ranks(path: str) -> bpe.Ranks | None:
+    """The merges of a tokenizer file if it is plain byte-level BPE whose ids rise with the merges, else None."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or file.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        return None
+    letters = byte_alphabet()
+    ids = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if set(token) <= letters.keys()}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    vocab = model["vocab"]
+    made = [vocab[a + b] for a, b in merges]
+    if any(x >= y for x, y in zip(made, made[1:])) or not all(bytes([i]) in ids for i in range(256)):
+        return None
+    return bpe.Ranks(ids, {vocab[a] << 32 | vocab[b]: vocab[a + b] for a, b in merges})
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """(encode function on texts, strings that the tokenizer treats apart), one per Python worker."""
+def tokenizer(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """A function on texts that gives (the ids of all of them, where each text's end); one per Python worker.
+
+    Texts that hold a string which the tokenizer treats apart go to the library whole. So do the
+    words of all others if the file is more than plain byte-level BPE; else they are merged side by side.
+    """
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    ranks = read_ranks(path)
 
-    def encode_words(items: list[bytes]) -> list[bytes]:
+    def by_library(items: list[bytes]) -> list[bytes]:
         coded = t.encode_batch_fast([w.decode("utf-8", "replace") for w in items], add_special_tokens=False)
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in coded]
 
     apart = [x.content for x in t.get_added_tokens_decoder().values()]
-    coder = bpe.Coder(encode_words)
+    coder = bpe.Coder(by_library if ranks is None else ranks.encode_words)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        ids, ends = coder(texts)
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole = [i for i, text in enumerate(texts) if any(a in text for a in apart)]
+        if not whole:
+            return coder(texts)
+        ids, ends = coder(["" if i in set(whole) else text for i, text in enumerate(texts)])
         out = np.split(ids, ends[:-1])
-        for i, text in enumerate(texts):
-            if any(a in text for a in apart):
-                out[i] = np.array(t.encode(text, add_special_tokens=False).ids, "<u4")
-        return out
+        for i in whole:
+            out[i] = np.array(t.encode(texts[i], add_special_tokens=False).ids, "<u4")
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
 
     return encode
 
 
+def cut_up(ids: np.ndarray, ends: np.ndarray, length: int, end_id: int) -> tuple[np.ndarray, ...]:
+    """(text, start, length, crc32, tokens of the text) of the pieces of all texts, an end id after each text."""
+    sizes = np.diff(ends, prepend=0) + 1
+    flat = np.insert(ids, ends, end_id).astype("<u4")
+    count = -(-sizes // length)
+    row = np.repeat(np.arange(len(sizes)), count)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * length
+    size = np.minimum(length, sizes[row] - start)
+    first = 4 * ((np.cumsum(sizes) - sizes)[row] + start)
+    data = memoryview(flat).cast("B")
+    crc = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(first.tolist(), (first + 4 * size).tolist())), np.int64, len(row))
+    return row, start, size, crc, sizes[row]
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): every document's ids, cut at multiples of ``length``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    end = struct.pack("<I", end_id)
+    names = ("start", "length", "ids_crc32", "doc_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
         for batch in batches:
             for piece, texts in bpe.chunks(batch, size=2 * bpe.CHUNK_BYTES):
-                row, start, size, crc, whole = [], [], [], [], []
-                for i, ids in enumerate(encode(texts)):
-                    data = ids.tobytes() + end
-                    for a in range(0, len(data), 4 * length):
-                        part = data[a : a + 4 * length]
-                        row.append(i)
-                        start.append(a // 4)
-                        size.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        whole.append(len(data) // 4)
-                longs = {n: pa.array(v, pa.int64()) for n, v in (("start", start), ("length", size), ("ids_crc32", crc), ("doc_tokens", whole))}
+                row, *columns = cut_up(*encode(texts), length, end_id)
+                longs = {n: pa.array(v.astype(np.int64)) for n, v in zip(names, columns, strict=True)}
                 yield pa.RecordBatch.from_pydict({id_col: piece.column(0).take(pa.array(row, pa.int32()))} | longs)
 
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
