@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,26 +15,44 @@ MORE_SUFFIXES = {"6": " sexies", "7": " septies", "8": " octies", "10": " decies
 LINK_KEYS = ["versione", "idGruppo", "flagTipoArticolo", "codiceRedazionale", "idArticolo", "idSottoArticolo", "idSottoArticolo1", "dataPubblicazioneGazzetta", "progressivo"]
 ARTICLE_URL = "https://www.normattiva.it/atto/caricaArticolo"
 
-# HTML entities that occur in the corpora; the ampersand comes last.
-ENTITIES = {
-    "&agrave;": "à", "&egrave;": "è", "&Egrave;": "È", "&eacute;": "é", "&igrave;": "ì", "&ograve;": "ò", "&ugrave;": "ù", "&deg;": "°",
-    "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&",
-}
-
-HEADER = r"Quesito\s+n.?\s*(\d+)\s*[-–]\s*(.+)"
+# Fixed value: the header of a question, with its number and its topic; (?U) lets \s and \d be those of Unicode.
+HEADER = r"(?U)Quesito\s+n.?\s*(\d+)\s*[-–]\s*(.+)"
 _EDGES = r"(?U)^\s+|\s+$"
 
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+#: Names of HTML entities and what they stand for: those that end in a semicolon, and the older ones that need none.
+ENTITIES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+OLD_ENTITIES = {k: v for k, v in html5.items() if not k.endswith(";")}
+#: Numbers 128 to 159 are read as bytes of the Windows code page, where it has them.
+_C1 = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)]
+
 
 def strip(c: Column) -> Column:
     """Without white space (also no-break spaces) at both ends."""
     return F.regexp_replace(c, _EDGES, "")
 
 
+def _table(entries: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\1".join(f"{k}\2{v}" for k, v in entries.items())), F.lit("\1"), F.lit("\2"))
+
+
+def _entity(found: Column) -> Column:
+    """The text of one entity; one that isn't known stays as it is."""
+    name = F.regexp_replace(found, "^&|;$", "")
+    code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.lit(8)), 16, 10)).otherwise(F.substring(name, F.lit(2), F.lit(8))).cast("int")
+    point = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    numeric = F.when(bad, F.lit("\ufffd")).when(code.between(128, 159), F.get(F.array(*map(F.lit, _C1)), code - 128)).otherwise(point)
+    named = F.when(found.endswith(";"), F.try_element_at(_table(ENTITIES), name)).otherwise(F.try_element_at(_table(OLD_ENTITIES), name))
+    return F.when(name.startswith("#"), numeric).otherwise(F.coalesce(named, found))
+
+
 def decode_entities(c: Column) -> Column:
-    """Named entities of the list, each replaced; the ampersand last, so nothing is decoded twice."""
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Named and numeric HTML entities decoded, each once; older names need no semicolon if no letter follows."""
+    decoded = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), 0), _entity)
+    gaps = F.split(c, ENTITY, -1)
+    joined = F.array_join(F.zip_with(gaps, F.array_append(decoded, F.lit("")), lambda g, d: F.concat(g, d)), "")
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
 def query_get(query: Column, key: str, prefix: str = "art.") -> Column:
@@ -80,7 +100,7 @@ def file_name(number: Column, sub: Column) -> Column:
 
 
 def without_prefix(c: Column) -> Column:
-    return F.regexp_replace(c, r"^Art\.\s*", "")
+    return F.regexp_replace(c, r"(?U)^Art\.\s*", "")
 
 
 def answer(c: Column, yes: str = "VERO", no: str = "FALSO") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -14,7 +14,7 @@ COMMA, COMMA_NUMBER, COMMA_TEXT, REPEALED, REPEALED_ARTICLE = "art-comma-div-akn
 _ALL = [NUMBER, HEADING, PREAMBLE, COMMA, COMMA_NUMBER, COMMA_TEXT, REPEALED, REPEALED_ARTICLE]
 
 
-def is_article(html: str = "html"):
+def is_article(html: str = "html") -> Column:
     return F.coalesce(F.contains(F.col(html), F.lit(NUMBER)), F.lit(False))
 
 
@@ -23,53 +23,43 @@ def split_valid(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages.where(is_article()), pages.where(~is_article())
 
 
-def _paragraphs(toks: DataFrame, all_scopes: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, open_i, text) for every comma; text is null if the comma holds no text span."""
-    commas = all_scopes.where(M.has_class(COMMA))
-    ids = [*keys, "open_i"]
+def _commas() -> Column:
+    """For every comma its place and its text; the text is null if the comma holds no text span."""
 
-    def first_text(cls: str, sep: str) -> DataFrame:
-        within = M.inside(all_scopes.where(M.has_class(cls)), commas, keys)
-        first = within.groupBy(*keys, "outer_i").agg(F.min_by(F.struct("open_i", "close_i"), "open_i").alias("s")).select(*keys, "outer_i", "s.*")
-        return M.text_of(toks, first, keys, ["outer_i"], sep).withColumnRenamed("outer_i", "open_i")
+    def one(comma: Column) -> Column:
+        body = F.get(M.within(M.with_class(COMMA_TEXT), comma), F.lit(0))
+        number = F.get(M.within(M.with_class(COMMA_NUMBER), comma), F.lit(0))
+        prefix = F.when(number.isNotNull(), F.concat(M.text_of(number, ""), F.lit(" "))).otherwise("")
+        return F.struct(comma["open_i"].alias("open_i"), F.when(body.isNotNull(), F.concat(prefix, M.text_of(body, " "))).alias("text"))
 
-    body = first_text(COMMA_TEXT, " ").withColumnRenamed("text", "body")
-    prefix = first_text(COMMA_NUMBER, "").withColumnRenamed("text", "prefix")
-    joined = commas.select(*ids).join(body, ids, "left").join(prefix, ids, "left")
-    return joined.select(*ids, F.concat(F.coalesce(F.concat("prefix", F.lit(" ")), F.lit("")), "body").alias("text"))
+    return F.transform(M.with_class(COMMA), one)
+
+
+def _outline(pages: DataFrame, keys: list[str], classes: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    return M.outline(pages, keys, F.arrays_overlap("cls", F.array(*map(F.lit, classes))), carry=carry)
 
 
 def parse(pages: DataFrame, keys: list[str]) -> DataFrame:
     """keys, number, title, text, paragraphs, url, scraped_at, repealed, and title_clean, repealed_article.
 
-    ``pages`` has keys, url, html. The last two columns are cleaner readings: the title without blanks at
-    its ends, and whether the article itself (not one comma) is repealed.
+    ``pages`` has keys, which tell pages apart, url, html. The last two columns are cleaner readings: the title without
+    blanks at its ends, and whether the article itself (not one comma) is repealed. Pages are tokenised and shuffled once.
     """
-    dealt = pages.select(*keys, "url", "html").repartition(*[F.col(k) for k in keys])
-    toks = M.tokens(dealt, keys)
-    spans = M.scopes(toks, keys, F.arrays_overlap("cls", F.array(*[F.lit(c) for c in _ALL])))
-
-    def first_text(cls: str, sep: str, name: str) -> DataFrame:
-        return M.text_of(toks, M.first_scope(spans.where(M.has_class(cls)), keys), keys, [], sep).withColumnRenamed("text", name)
-
-    commas = _paragraphs(toks, spans, keys).where("text is not null")
-    lists = commas.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("open_i", "text"))), lambda x: x["text"]).alias("paragraphs"))
-    flags = spans.groupBy(*keys).agg(F.max(M.has_class(REPEALED)).alias("by_class"), F.max(M.has_class(REPEALED_ARTICLE)).alias("whole"))
-    out = dealt.withColumn("mention", F.contains(F.lower("html"), F.lit(REPEALED))).drop("html")
-    for part in (first_text(NUMBER, "", "number"), first_text(HEADING, "", "title"), first_text(PREAMBLE, " ", "text"), lists, flags):
-        out = out.join(part, keys, "left")
-    title = F.coalesce(F.trim("title", F.lit("().")), F.lit(""))
-    return out.select(
-        *keys, F.coalesce(S.without_prefix(F.col("number")), F.lit("")).alias("number"), title.alias("title"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"), "url", S.iso_now().alias("scraped_at"),
-        (F.coalesce("by_class", F.lit(False)) | F.coalesce("mention", F.lit(False))).alias("repealed"),
-        S.strip(title).alias("title_clean"), F.coalesce("whole", F.lit(False)).alias("repealed_article"),
+    mention = F.coalesce(F.contains(F.lower("html"), F.lit(REPEALED)), F.lit(False))
+    found = _outline(pages.withColumn("_mention", mention), keys, _ALL, ("url", "_mention"))
+
+    def first_text(cls: str, sep: str) -> Column:
+        return F.coalesce(M.text_of(F.get(M.with_class(cls), F.lit(0)), sep), F.lit(""))
+
+    title = F.trim(first_text(HEADING, ""), F.lit("().")).alias("title")
+    texts = F.transform(F.filter(_commas(), lambda x: x["text"].isNotNull()), lambda x: x["text"])
+    return found.select(
+        *keys, S.without_prefix(first_text(NUMBER, "")).alias("number"), title, first_text(PREAMBLE, " ").alias("text"), texts.alias("paragraphs"), "url", S.iso_now().alias("scraped_at"),
+        ((F.size(M.with_class(REPEALED)) > 0) | F.col("_mention")).alias("repealed"), S.strip(title).alias("title_clean"), (F.size(M.with_class(REPEALED_ARTICLE)) > 0).alias("repealed_article"),
     )
 
 
 def rejected_commas(pages: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, open_i) of commas without a text span, whose text the records don't hold."""
-    dealt = pages.select(*keys, "html").repartition(*[F.col(k) for k in keys])
-    toks = M.tokens(dealt, keys)
-    spans = M.scopes(toks, keys, F.arrays_overlap("cls", F.array(F.lit(COMMA), F.lit(COMMA_NUMBER), F.lit(COMMA_TEXT))))
-    return _paragraphs(toks, spans, keys).where("text is null").select(*keys, "open_i")
+    found = _outline(pages, keys, [COMMA, COMMA_NUMBER, COMMA_TEXT])
+    return found.select(*keys, F.explode(_commas()).alias("c")).where("c.text is null").select(*keys, "c.open_i")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+# Fixed value: a link to an article, with its query.
 ARTICLE_LINK = r"caricaArticolo\?([^'\"]+)"
 
 

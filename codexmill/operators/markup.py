@@ -1,7 +1,7 @@
 """Class-scoped extraction from HTML as joins and windows over a token table.
 
-Every operator keeps the partitioning by page: tokens are dealt once by their key, and
-windows and joins below need no other shuffle.
+``outline`` deals pages once by their keys, and its windows keep that partitioning: tokens, element
+scopes and texts come from one pass, and what is asked of a page are expressions on its arrays.
 """
 
 from __future__ import annotations
@@ -22,54 +22,62 @@ def token_array(html: Column) -> Column:
 
 
 def tokens(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """(keys, i, kind, tag, cls, s): kind is open, void, close or text; s is a text token's stripped text."""
-    raw = pages.select(*keys, F.posexplode(token_array(F.col(html))).alias("i", "raw"))
+    """(keys, i, kind, tag, cls, s): kind is open, void, close or text; s is a text token's stripped text.
+
+    A page without tokens has one row, of kind text without a text.
+    """
+    raw = pages.select(*keys, F.posexplode_outer(token_array(F.col(html))).alias("i", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"^</?\s*([A-Za-z][A-Za-z0-9:-]*)", 1))
     markup = F.col("raw").startswith("<")
     kind = (
-        F.when(~markup, "text").when(F.col("raw").startswith("</"), "close")
+        F.when(~F.coalesce(markup, F.lit(False)), "text").when(F.col("raw").startswith("</"), "close")
         .when(tag.isin(VOID) | F.col("raw").endswith("/>"), "void").otherwise("open")
     )
     cls = F.filter(F.split(F.regexp_extract("raw", r"""(?i)\sclass\s*=\s*["']([^"']*)""", 1), r"\s+"), lambda c: c != "")
-    return raw.select(*keys, "i", kind.alias("kind"), F.when(markup, tag).alias("tag"), F.when(markup, cls).alias("cls"), F.when(~markup, S.strip(S.decode_entities(F.col("raw")))).alias("s"))
+    return raw.select(*keys, F.coalesce("i", F.lit(0)).alias("i"), kind.alias("kind"), F.when(markup, tag).alias("tag"), F.when(markup, cls).alias("cls"), F.when(~markup, S.strip(S.decode_entities(F.col("raw")))).alias("s"))
 
 
-def scopes(toks: DataFrame, keys: list[str], wanted: Column) -> DataFrame:
-    """(keys, tag, cls, open_i, close_i) of elements whose opening token satisfies ``wanted``.
+def outline(pages: DataFrame, keys: list[str], wanted: Column, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page: keys, ``carry``, ``texts`` (its non-empty stripped strings, in order) and ``scopes``.
 
-    Depth is counted for each tag by itself, so that a stray tag spoils no other tag. An
-    element that is never closed reaches to the end of the page (close_i null).
+    Scopes are the elements whose opening token (tag, cls) satisfies ``wanted``, in order: open_i, close_i, tag, cls,
+    and t0, t1, so that texts t0 to t1 - 1 lie within. Depth is counted for each tag by itself, so that a stray tag
+    spoils no other tag. An element that is never closed reaches to the end of the page (close_i null). A page is tokenised once and dealt once by its keys, which tell pages apart.
     """
-    ends = toks.where("kind in ('open', 'close')")
-    step = F.when(F.col("kind") == "open", 1).otherwise(-1)
-    depth = F.sum(step).over(Window.partitionBy(*keys, "tag").orderBy("i"))
-    leveled = ends.withColumn("lvl", F.when(F.col("kind") == "open", depth).otherwise(depth + 1))
-    following = Window.partitionBy(*keys, "tag", "lvl").orderBy("i")
-    close = F.when(F.lead("kind").over(following) == "close", F.lead("i").over(following))
-    return leveled.withColumn("close_i", close).where((F.col("kind") == "open") & wanted).select(*keys, "tag", "cls", F.col("i").alias("open_i"), "close_i")
+    rows = [*keys, *carry]
+    toks = tokens(pages.select(*rows, html).repartition(*[F.col(k) for k in keys]), rows, html)
+    said = (F.col("kind") == "text") & (F.col("s") != "")
+    upto = Window.partitionBy(*rows).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    depth = F.sum(step).over(Window.partitionBy(*rows, "tag").orderBy("i"))
+    leveled = toks.withColumn("t", F.count_if(said).over(upto)).withColumn("depth", depth)
+    # only openings and closings have a level; all other tokens go to one of their own
+    leveled = leveled.withColumn("lvl", F.when(F.col("kind") == "open", F.col("depth")).when(F.col("kind") == "close", F.col("depth") + 1))
+    following = Window.partitionBy(*rows, "tag", "lvl").orderBy("i")
+    closed = F.lead("kind").over(following) == "close"
+    ends = leveled.withColumn("close_i", F.when(closed, F.lead("i").over(following))).withColumn("t1", F.when(closed, F.lead("t").over(following)))
+    scope = F.struct(F.col("i").alias("open_i"), "close_i", "tag", "cls", F.col("t").alias("t0"), "t1")
+    found = ends.groupBy(*rows).agg(
+        F.array_sort(F.collect_list(F.when(said, F.struct("i", "s")))).alias("texts"), F.array_sort(F.collect_list(F.when((F.col("kind") == "open") & wanted, scope))).alias("scopes")
+    )
+    return found.withColumn("texts", F.transform("texts", lambda x: x["s"]))
 
 
-def has_class(name: str) -> Column:
-    return F.array_contains("cls", name)
+def with_class(name: str) -> Column:
+    """The scopes of a page that bear a class."""
+    return F.filter("scopes", lambda x: F.array_contains(x["cls"], name))
 
 
-def first_scope(found: DataFrame, keys: list[str]) -> DataFrame:
-    """The first of the scopes on each page (or of each value of keys)."""
-    rest = [c for c in found.columns if c not in keys]
-    return found.groupBy(*keys).agg(F.min_by(F.struct(*rest), "open_i").alias("_s")).select(*keys, "_s.*")
+def with_tag(name: str) -> Column:
+    return F.filter("scopes", lambda x: x["tag"] == name)
 
 
-def inside(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of scopes, one within the other on the same page; the outer's places as outer_i, outer_end."""
-    o = outer.select(*keys, F.col("open_i").alias("outer_i"), F.col("close_i").alias("outer_end"))
-    return inner.join(o, keys).where("open_i > outer_i and (outer_end is null or open_i < outer_end)")
+def within(inner: Column, outer: Column) -> Column:
+    """Those scopes of an array that open within another one."""
+    return F.filter(inner, lambda x: (x["open_i"] > outer["open_i"]) & (outer["close_i"].isNull() | (x["open_i"] < outer["close_i"])))
 
 
-def text_of(toks: DataFrame, found: DataFrame, keys: list[str], ids: list[str], sep: str) -> DataFrame:
-    """(keys, ids, text) of scopes: their stripped strings, empty ones left out, joined by ``sep``."""
-    texts = toks.where("kind = 'text' and s <> ''").select(*keys, "i", "s")
-    spans = found.select(*keys, *ids, F.col("open_i").alias("_from"), F.col("close_i").alias("_to"))
-    held = spans.join(texts, keys, "left").withColumn("in", F.expr("i > _from and (_to is null or i < _to)"))
-    parts = F.array_sort(F.collect_list(F.when(F.col("in"), F.struct("i", "s"))))
-    joined = F.array_join(F.transform(parts, lambda x: x["s"]), sep)
-    return held.groupBy(*keys, *ids).agg(joined.alias("text"))
+def text_of(scope: Column, sep: str) -> Column:
+    """A scope's stripped strings, empty ones left out, joined by ``sep``; null if there is no scope."""
+    size = F.coalesce(scope["t1"], F.size("texts")) - scope["t0"]
+    return F.array_join(F.slice(F.col("texts"), (scope["t0"] + 1).cast("int"), size.cast("int")), sep)

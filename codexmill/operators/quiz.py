@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import layout as L
 
+# Fixed value: images of a question lie to the right of this place.
 IMAGE_LEFT = 400.0
 _PAGE = ["doc", "page"]
 

@@ -30,10 +30,13 @@ def query(sql: str) -> Callable[[Query], Query]:
     return add
 
 
+#: Entities that occur in the given pages, for the SQL; the ampersand comes last, so nothing is decoded twice.
+_PAGE_ENTITIES = ["nbsp", "copy", "middot", "quot", "lt", "gt", "amp"]
+
+
 def _entities(x: str) -> str:
-    for name, char in S.ENTITIES.items():
-        char = char.replace("'", "''")
-        x = f"replace({x}, '{name}', '{char}')"
+    for name in _PAGE_ENTITIES:
+        x = f"replace({x}, '&{name};', '{S.ENTITIES[name]}')"
     return x
 
 
@@ -50,9 +53,8 @@ def _text(x: str, sep: str) -> str:
     return f"coalesce(array_to_string(list_filter({parts}, lambda t: t <> ''), '{sep}'), '')"
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = given(spark, sf_dir, "pages").select("page_id", "html")
-    return markup.tokens(pages.repartition("page_id"), ["page_id"])
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given(spark, sf_dir, "pages").select("page_id", "html")
 
 
 @query(f"""
@@ -96,26 +98,24 @@ def page_url_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT page_id, unnest(regexp_extract_all({_CLEAN}, '{markup.TOKEN}')) AS t FROM pages) GROUP BY page_id""")
 def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("kind")
-    return _tokens(spark, sf_dir).groupBy("page_id").agg(
+    return markup.tokens(_pages(spark, sf_dir), ["page_id"]).groupBy("page_id").agg(
         F.count_if(kind.isin("open", "void")).alias("n_open"), F.count_if(kind == "close").alias("n_close"), F.count_if((kind == "text") & (F.col("s") != "")).alias("n_text")
     )
 
 
 @query(rf"""SELECT page_id, {_text("h", "")} AS title FROM (SELECT page_id, regexp_extract({_CLEAN}, '(?is)<h1\b[^>]*>(.*?)(?:</h1>|$)', 1) AS h FROM pages WHERE regexp_matches({_CLEAN}, '(?i)<h1\b'))""")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = _tokens(spark, sf_dir)
-    first = markup.first_scope(markup.scopes(toks, ["page_id"], F.col("tag") == "h1"), ["page_id"])
-    return markup.text_of(toks, first, ["page_id"], [], "").withColumnRenamed("text", "title")
+    found = markup.outline(_pages(spark, sf_dir), ["page_id"], F.col("tag") == "h1").where(F.size("scopes") > 0)
+    return found.select("page_id", markup.text_of(F.get("scopes", F.lit(0)), "").alias("title"))
 
 
 @query(rf"""
     SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS n, {_text("h", " ")} AS text
     FROM (SELECT page_id, unnest(l) AS h, unnest(range(len(l))) AS k FROM (SELECT page_id, regexp_extract_all({_CLEAN}, '(?is)<div class="ad">(.*?)</div>', 1) AS l FROM pages))""")
 def page_ad_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = _tokens(spark, sf_dir)
-    texts = markup.text_of(toks, markup.scopes(toks, ["page_id"], markup.has_class("ad")), ["page_id"], ["open_i"], " ")
-    nth = F.row_number().over(Window.partitionBy("page_id").orderBy("open_i")).cast("long")
-    return texts.select("page_id", nth.alias("n"), "text")
+    found = markup.outline(_pages(spark, sf_dir), ["page_id"], F.array_contains("cls", "ad"))
+    texts = F.transform("scopes", lambda x: markup.text_of(x, " "))
+    return found.select("page_id", F.posexplode(texts).alias("n", "text")).select("page_id", (F.col("n") + 1).cast("long").alias("n"), "text")
 
 
 @query(rf"""
@@ -124,12 +124,11 @@ def page_ad_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT page_id, regexp_extract_all(regexp_extract({_CLEAN}, '(?is)<nav>(.*?)</nav>', 1), '(?is)<li>(.*?)</li>', 1) AS l FROM pages))
     GROUP BY page_id""")
 def page_nav_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks, keys = _tokens(spark, sf_dir), ["page_id"]
-    found = markup.scopes(toks, keys, F.col("tag").isin("nav", "li"))
-    nav = markup.first_scope(found.where("tag = 'nav'"), keys)
-    texts = markup.text_of(toks, markup.inside(found.where("tag = 'li'"), nav, keys), keys, ["open_i"], "")
-    items = F.transform(F.array_sort(F.collect_list(F.struct("open_i", "text"))), lambda x: x["text"])
-    return texts.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(items, " | ").alias("items"))
+    found = markup.outline(_pages(spark, sf_dir), ["page_id"], F.col("tag").isin("nav", "li"))
+    nav = F.get(markup.with_tag("nav"), F.lit(0))
+    items = F.transform(markup.within(markup.with_tag("li"), nav), lambda x: markup.text_of(x, ""))
+    out = found.select("page_id", F.size(items).cast("long").alias("n_items"), F.array_join(items, " | ").alias("items"))
+    return out.where("n_items > 0")
 
 
 @query(rf"""
@@ -233,12 +232,15 @@ def conversation_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("conv_id", "turn", F.size("rows").cast("long").alias("n_rows"), joined.alias("rows"))
 
 
-@query(r"""
-    SELECT p_partkey, regexp_extract(line, 'Quesito\s+n.?\s*(\d+)\s*[-–]\s*(.+)', 1) AS qid, trim(regexp_extract(line, 'Quesito\s+n.?\s*(\d+)\s*[-–]\s*(.+)', 2)) AS topic, regexp_replace(label, '^Art\.\s*', '') AS bare, trim(replace(p_name, chr(10), ' ')) AS name
-    FROM (SELECT *, 'x Quesito n. ' || p_size || ' – ' || p_brand || ' ' AS line, 'Art. ' || p_brand AS label FROM part) WHERE regexp_matches(line, 'Quesito\s+n.?\s*(\d+)\s*[-–]\s*(.+)')""")
+HEADER_SQL = r"Quesito[\s\x{00A0}]+n.?[\s\x{00A0}]*(\d+)[\s\x{00A0}]*[-–][\s\x{00A0}]*(.+)"
+
+
+@query(rf"""
+    SELECT p_partkey, regexp_extract(line, '{HEADER_SQL}', 1) AS qid, trim(regexp_extract(line, '{HEADER_SQL}', 2)) AS topic, p_brand AS bare, trim(replace(p_name, chr(10), ' ')) AS name
+    FROM (SELECT *, 'x Quesito' || chr(160) || 'n. ' || p_size || ' – ' || p_brand || ' ' AS line FROM part) WHERE regexp_matches(line, '{HEADER_SQL}')""")
 def header_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = given(spark, sf_dir, "part").withColumn("line", F.concat(F.lit("x Quesito n. "), F.col("p_size").cast("string"), F.lit(" – "), "p_brand", F.lit(" "))).withColumn("y", F.lit(0.0))
-    lines = lines.withColumns({"bare": S.without_prefix(F.concat(F.lit("Art. "), "p_brand")), "name": S.one_line(F.col("p_name"))})
+    lines = given(spark, sf_dir, "part").withColumn("line", F.concat(F.lit("x Quesito\xa0n. "), F.col("p_size").cast("string"), F.lit(" – "), "p_brand", F.lit(" "))).withColumn("y", F.lit(0.0))
+    lines = lines.withColumns({"bare": S.without_prefix(F.concat(F.lit("Art.\xa0"), "p_brand")), "name": S.one_line(F.col("p_name"))})
     return layout.headers(lines, ["p_partkey", "bare", "name"]).drop("y")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,32 @@ def write_articles(records: DataFrame, folder: str, kind: str = "json", mode: st
     _by_law(records, folder, kind, mode)
 
 
-def write_pages(pages: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """Raw pages by law, one row for each filename."""
-    _by_law(pages.dropDuplicates(["law", "filename"]), folder, "parquet", mode)
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Raw pages by law, one row for each (law, filename): a page that is written again replaces its older copy, all others stay.
+
+    Only the new pages are written, as a version of their own; readers take the latest version of each page.
+    Of several rows with one key in ``pages`` one stays.
+    """
+    version = 1 + max(_versions(pages.sparkSession, folder), default=0)
+    pages.select("law", "filename", "url", "html").dropDuplicates(["law", "filename"]).write.mode("overwrite").partitionBy("law").parquet(f"{folder}/version={version}")
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(law, filename, url, html) as ``write_pages`` left them; versions whose job hasn't ended don't count."""
+    whole = _versions(spark, folder)
+    found = spark.read.schema("filename string, url string, html string, version long, law string").parquet(folder).where(F.col("version").isin(whole))
+    keys = ["law", "filename"]
+    if len(whole) > 1:
+        latest = found.groupBy(*keys).agg(F.max("version").alias("version"))
+        found = found.join(latest, [*keys, "version"])
+    return found.select(*keys, "url", "html")
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Versions whose job has ended, as the marker file that Spark leaves tells."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
 
 
 def write_questions(questions: DataFrame, folder: str, mode: str = "overwrite") -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -10,27 +10,57 @@ from ..operators import articles
 from ..sources import tables
 
 KEYS = ["law", "filename"]
+SHARDS = 64
 
 
-def extract_articles(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
+def _shard() -> Column:
+    return F.pmod(F.xxhash64(*KEYS), F.lit(SHARDS)).cast("int")
+
+
+def page_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of pages that land as <folder>/<law>/art_<number>_<sub>.html."""
+    raw = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(f"{folder}/*/art_*.html")
+    return tables.named(raw)
+
+
+def page_tables(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of pages that land as Parquet files of (law, filename, url, html)."""
+    return spark.readStream.schema("law string, filename string, url string, html string").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def extract_articles(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Parse new pages batch by batch and append the records that ``out`` doesn't hold yet.
 
-    The extraction needs windows over row order, which streams refuse, so each batch is
-    parsed as a table. A page that is delivered again, under its own name or in a batch that is
-    repeated after a failure, adds nothing: records are keyed by law and filename. Each batch
-    has a folder of its own, which a repetition overwrites.
+    The extraction needs windows over row order, which streams refuse, so each batch is parsed as a table. A page
+    that is delivered again, under its own name or in a batch that is repeated after a failure, adds nothing: records
+    are keyed by law and filename. Each batch has a folder of its own, which a repetition overwrites. The keys at
+    hand lie in a table of their own, split into SHARDS by their hash: a batch reads two columns, and of
+    those only the shards that its own keys fall into.
     """
-    stream = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(f"{folder}/*/art_*.html")
 
     def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         valid, _ = articles.split_valid(batch.dropDuplicates(KEYS))
-        old = _records(batch.sparkSession, out, number)
-        fresh = valid if old is None else valid.join(old.select(*KEYS), KEYS, "left_anti")
-        articles.parse(fresh, KEYS).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        valid = valid.withColumn("shard", _shard())
+        old = _keys(spark, out, number)
+        if old is not None:
+            touched = [r.shard for r in valid.select("shard").distinct().collect()]  # SHARDS at most
+            valid = valid.join(old.where(F.col("shard").isin(touched)), [*KEYS, "shard"], "left_anti")
+        records = articles.parse(valid.drop("shard"), KEYS)
+        records.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
+        done = spark.read.parquet(f"{out}/records/batch={number}").select(*KEYS, _shard().alias("shard"))
+        done.write.mode("overwrite").partitionBy("shard").parquet(f"{out}/keys/batch={number}")
+
+    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return tables.named(stream).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def records(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/records").drop("batch")
 
 
-def _records(spark: SparkSession, out: str, below: int) -> DataFrame | None:
-    """Records of the batches before the given one, or None if there is none."""
-    return spark.read.parquet(out).where(F.col("batch") < below) if below else None
+def _keys(spark: SparkSession, out: str, below: int) -> DataFrame | None:
+    """Keys of the batches before the given one, or None if there is none."""
+    if not below:
+        return None
+    keys = spark.read.schema("law string, filename string, shard int, batch bigint").parquet(f"{out}/keys")
+    return keys.where(F.col("batch") < below).select(*KEYS, "shard")

@@ -1,23 +1,28 @@
+import html as library
+
+import pytest
+from pyspark.sql import functions as F
+
+from codexmill.functions import scalars
 from codexmill.operators import articles, links, markup
 from codexmill.sources import sinks, tables
 from codexmill.streaming import incremental
 
 HTML = """<!DOCTYPE html>\r\n<html><body><script>var a = '<div class="article-num-akn">no</div>';</script>
-<div class="bodyTesto">
-<h2 class="article-num-akn" id="art_7-bis">Art. 7-bis</h2>
-<div class="article-heading-akn">(( (Example) ))</div>
-<div class="art-commi-div-akn">
-<div class="art-comma-div-akn"><span class="art_text_in_comma">((</span></div>
-<div class="art-comma-div-akn"><span class="comma-num-akn">1. </span><span class="art_text_in_comma">First <a href="#">linked</a> text.<br></span></div>
-<div class="art-comma-div-akn"><div><span class="comma-num-akn">2. </span>No text span</div></div>
-</div></div></body></html>"""
-REPEALED = '<h2 class="article-num-akn">Art. 34</h2><span class="art-just-text-akn">ARTICOLO ABROGATO</span>'
-PREAMBLE = '<h2 class="article-num-akn">Art. 45</h2><div class="article-heading-akn">del <b>codice</b>civile.</div><div class="article-pre-comma-text-akn">((1.&nbsp;L&#39;impresa<br>&egrave; qui'
+<section><h3 class="big article-num-akn">Art.&nbsp;12-ter</h3>
+<p class="article-heading-akn">(On <i>rivers</i> and&#160;lakes).</p>
+<ul>
+<li class="art-comma-div-akn"><b class="comma-num-akn">1. </b><em class="art_text_in_comma">Water &laquo;flows&raquo; <a href="#">down</a>.<br></em></li>
+<li class="art-comma-div-akn"><b class="comma-num-akn">2. </b>no text of its own</li>
+<li class="art-comma-div-akn"><em class="art_text_in_comma">))</em><em class="art_text_in_comma">second</em></li>
+</ul></section></body></html>"""
+REPEALED = '<h3 class="article-num-akn">Art. 5</h3><q class="art_abrogato-akn">none left</q>'
+PREAMBLE = '<h3 class="article-num-akn">Art. 6</h3><p class="article-heading-akn">of <b>the</b>law</p><p class="article-pre-comma-text-akn">We&nbsp;say&#39;s<br>&egrave; so'
 KEYS = ["law", "filename"]
 
 
 def pages(spark):
-    rows = [("cap", "art_0007_2.html", HTML), ("cap", "art_0034_1.html", REPEALED), ("cds", "art_0045_1.html", PREAMBLE), ("cds", "art_0001_1.html", "<p>gone</p>"), ("cds", "art_0002_1.html", None)]
+    rows = [("cap", "art_0012_3.html", HTML), ("cap", "art_0005_1.html", REPEALED), ("cds", "art_0006_1.html", PREAMBLE), ("cds", "art_0001_1.html", "<p>gone</p>"), ("cds", "art_0002_1.html", None)]
     return spark.createDataFrame([(a, b, "u/" + b, c) for a, b, c in rows], "law string, filename string, url string, html string")
 
 
@@ -25,21 +30,38 @@ def test_records(spark):
     valid, bad = articles.split_valid(pages(spark))
     assert {r.filename for r in bad.collect()} == {"art_0001_1.html", "art_0002_1.html"}
     got = {r.filename: r for r in articles.parse(valid, KEYS).collect()}
-    a = got["art_0007_2.html"]
-    assert (a.number, a.title, a.title_clean, a.text, a.paragraphs, a.repealed) == ("7-bis", " (Example) ", "(Example)", "", ["((", "1. First linked text."], False)
-    b = got["art_0034_1.html"]
-    assert (b.number, b.title, b.text, b.paragraphs, b.repealed, b.repealed_article) == ("34", "", "", [], True, False)
-    c = got["art_0045_1.html"]
-    assert (c.title, c.text) == ("delcodicecivile", "((1. L'impresa è qui")
-    assert [r.filename for r in articles.rejected_commas(valid, KEYS).collect()] == ["art_0007_2.html"]
+    a = got["art_0012_3.html"]
+    assert (a.number, a.title, a.text, a.repealed) == ("12-ter", "Onriversand\xa0lakes", "", False)
+    assert a.paragraphs == ["1. Water «flows» down .", "))"]
+    b = got["art_0005_1.html"]
+    assert (b.number, b.title, b.text, b.paragraphs, b.repealed, b.repealed_article) == ("5", "", "", [], True, True)
+    c = got["art_0006_1.html"]
+    assert (c.number, c.title, c.text) == ("6", "ofthelaw", "We\xa0say's è so")
+    assert [r.filename for r in articles.rejected_commas(valid, KEYS).collect()] == ["art_0012_3.html"]
+
+
+def test_pages_are_tokenised_and_shuffled_once(spark):
+    plan = articles.parse(articles.split_valid(pages(spark))[0], KEYS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1 and plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_entities_equal_the_library(spark):
+    texts = ["&rsquo;&#8217;&#x2019;", "&laquo;x&raquo; &Agrave;&euro;", "&amp;lt; &amp", "&unknown; & &;", "&#0;&#xD800;&#1114112;", "&#150;&#128;", "no", "&NotEqualTilde;&copy 2020&nbsp"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.decode_entities(F.col("t")).alias("d"))
+    assert {r.t: r.d for r in df.collect()} == {t: library.unescape(t) for t in texts}
+
+
+@pytest.mark.parametrize(("inner", "outer"), [("u", "ol"), ("ol", "ol")])
+def test_nested_elements(spark, inner, outer):
+    df = spark.createDataFrame([(1, f"<{outer}>a<{inner}>b</{inner}>c</{outer}>d"), (2, ""), (3, None)], "k int, html string")
+    got = {r.k: r.t for r in markup.outline(df, ["k"], F.col("tag").isin("u", "ol")).select("k", F.transform("scopes", lambda x: markup.text_of(x, "+")).alias("t")).collect()}
+    assert got == {1: ["a+b+c", "b"], 2: [], 3: []}
 
 
 def test_unclosed_elements_reach_to_the_end(spark):
     df = spark.createDataFrame([(1, "<ul><li>a<li>b</ul><p>c")], "k int, html string")
-    toks = markup.tokens(df, ["k"])
-    from pyspark.sql import functions as F
-
-    got = markup.text_of(toks, markup.scopes(toks, ["k"], F.col("tag").isin("ul", "p")), ["k"], ["tag"], "+").collect()
+    found = markup.outline(df, ["k"], F.col("tag").isin("ul", "p"))
+    got = found.select(F.explode("scopes").alias("s"), "texts").select("s.tag", markup.text_of(F.col("s"), "+").alias("text")).collect()
     assert {r.tag: r.text for r in got} == {"ul": "a+b", "p": "c"}
 
 
@@ -61,15 +83,15 @@ def test_links(spark):
 def test_stream_equals_batch_and_replays_add_nothing(spark, tmp_path):
     raw, out = tmp_path / "raw", str(tmp_path / "out")
     (raw / "cap").mkdir(parents=True)
-    (raw / "cap/art_0007_2.html").write_text(HTML)
-    run = lambda: incremental.extract_articles(spark, str(raw), out, str(tmp_path / "ckpt")).awaitTermination()
+    (raw / "cap/art_0012_3.html").write_text(HTML)
+    run = lambda: incremental.extract_articles(incremental.page_files(spark, str(raw)), out, str(tmp_path / "ckpt")).awaitTermination()
     run()
-    (raw / "cap/art_0034_1.html").write_text(REPEALED)
+    (raw / "cap/art_0005_1.html").write_text(REPEALED)
     run()
+    (raw / "cap/art_0012_3.html").write_text(HTML + " ")  # delivered again
     run()
-    (tmp_path / "other/cap").mkdir(parents=True)
     cols = ["law", "filename", "number", "title", "paragraphs", "repealed"]
-    got = sorted(map(str, spark.read.parquet(out).select(*cols).collect()))
+    got = sorted(map(str, incremental.records(spark, out).select(*cols).collect()))
     valid, _ = articles.split_valid(tables.raw_pages(spark, str(raw)))
     assert got == sorted(map(str, articles.parse(valid, KEYS).select(*cols).collect())) and len(got) == 2
 
@@ -79,9 +101,12 @@ def test_sinks(spark, tmp_path):
     sinks.write_articles(records, str(tmp_path / "a"))
     sinks.write_articles(records.where("law = 'cds'"), str(tmp_path / "a"))
     back = spark.read.json(str(tmp_path / "a"))
-    assert back.count() == 3 and back.where("law = 'cds'").first().text.endswith("è qui")
+    assert back.count() == 3 and back.where("law = 'cds'").first().text.endswith("è so")
     sinks.write_pages(pages(spark).unionByName(pages(spark)), str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).count() == 5
+    changed = pages(spark).where("filename = 'art_0005_1.html'").withColumn("html", F.lit("changed"))
+    sinks.write_pages(changed, str(tmp_path / "p"))
+    kept = {r.filename: r.html for r in sinks.read_pages(spark, str(tmp_path / "p")).collect()}
+    assert len(kept) == 5 and kept["art_0005_1.html"] == "changed" and kept["art_0012_3.html"] == HTML
     assets = spark.createDataFrame([("d", 1, k, f"n{k}", k, "png", bytearray(b)) for k, b in enumerate([b"x", b"x", b"y"])], tables.LAYOUT["assets"])
     sinks.write_assets(assets, str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i")).count() == 2

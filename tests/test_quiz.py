@@ -1,119 +1,102 @@
-"""The question bank against a plain sequential restatement on random layouts."""
+"""The question bank: layouts with their questions written out by hand, and random ones against SQL."""
 
-import hashlib
 import random
-import re
 
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codexmill.operators import crawl, layout, quiz
+from codexmill.plans import products
 from codexmill.sources import sinks, tables
 
-HEADER = re.compile(r"Quesito\s+n.?\s*(\d+)\s*[-–]\s*(.+)")
-
-
-def invent(rnd, doc):
-    data = {k: [] for k in tables.LAYOUT}
-    for page in range(1, 5):
-        tops = rnd.sample(range(0, 40), 8)
-        w = t = 0
-        for k in range(rnd.randrange(0, 4)):
-            top, qid = tops.pop() * 10 + rnd.choice([0.0, 0.5, 0.25]), rnd.choice("1234")
-            for x, text in enumerate(["Quesito", "n.", qid, rnd.choice("-–"), "Topic", qid]):
-                data["words"].append((doc, page, w, text, top, float(x)))
-                w += 1
-        for k in range(rnd.randrange(0, 4)):
-            top = rnd.choice([tops.pop() * 10 + 0.3, rnd.choice([0.0] + [float(round(x[4])) for x in data["words"] if x[1] == page])])
-            data["tables"].append((doc, page, t, top))
-            rows = [["Numero", "Testo", "R"], ["1 ", " a\nb ", "vero "], [None, "x", "FALSO"], ["2", None, ""], ["3", "c", None], ["4", "d", "falso"], ["5x", "", ""], ["6", "short"]]
-            for i, r in enumerate(rnd.sample(rows, rnd.randrange(0, 8))):
-                data["table_rows"].append((doc, page, t, i, r))
-            t += 1
-        for k in range(rnd.randrange(0, 4)):
-            data["images"].append((doc, page, k, rnd.choice([400.0, 401.0, 500.0]), float(rnd.randrange(400)), f"n{rnd.randrange(3)}"))
-        for k in range(rnd.randrange(0, 4)):
-            data["assets"].append((doc, page, k, f"n{rnd.randrange(3)}", k, "png", bytearray(rnd.choice([b"a", b"b", b"c"]))))
-    return data
-
-
-def sequential(data, doc):
-    out, current, image = [], None, None
-
-    def of(name, page):
-        return [r for r in data[name] if r[0] == doc and r[1] == page]
-
-    def look(page, above):
-        found = sorted((i[4], i[2], i[5]) for i in of("images", page) if i[3] > 400.0 and i[4] > above)
-        hits = {a[3]: a for a in of("assets", page)}
-        if not found or found[0][2] not in hits:
-            return None
-        a = hits[found[0][2]]
-        return hashlib.md5(bytes(a[6])).hexdigest() + "." + a[5]
-
-    def start(qid, topic):
-        nonlocal current
-        if current is None or current[0] != qid:
-            current = (qid, topic, [])
-            out.append(current)
-            return True
-        return False
-
-    for page in range(1, 5):
-        lines = {}
-        for x in of("words", page):
-            lines.setdefault(round(x[4]), []).append(x)
-        heads = []
-        for y in sorted(lines):
-            m = HEADER.search(" ".join(x[3] for x in sorted(lines[y], key=lambda x: (x[5], x[2]))))
-            if m:
-                heads.append((float(y), m[1], m[2].strip()))
-        claimed = set()
-        for t in sorted(of("tables", page), key=lambda t: (t[3], t[2])):
-            above = [h for h in heads if h[0] < t[3]]
-            if above:
-                h = max(above, key=lambda h: h[0])
-                claimed.add(h[1])
-                if start(h[1], h[2]):
-                    image = look(page, h[0])
-            elif current is not None and image is None:
-                image = look(page, 0.0)
-            if current is None:
-                continue
-            for r in sorted((r for r in of("table_rows", page) if r[2] == t[2]), key=lambda r: r[3]):
-                cells = [*r[4], None, None, None]
-                number = (cells[0] or "").strip()
-                if number.isdigit() and "Numero" not in cells[0]:
-                    answer = {"VERO": True, "FALSO": False}.get((cells[2] or "").strip().upper())
-                    current[2].append((number, (cells[1] or "").replace("\n", " ").strip(), answer, image))
-        for h in sorted(h for h in heads if h[1] not in claimed):
-            if start(h[1], h[2]):
-                image = None
-    return out
-
-
-def test_questions_equal_the_sequential_reading(spark, tmp_path):
-    rnd = random.Random(5)
-    data = {k: [] for k in tables.LAYOUT}
-    docs = [f"d{i}" for i in range(60)]
-    for d in docs:
-        for k, rows in invent(rnd, d).items():
-            data[k] += rows
-    frames = {k: spark.createDataFrame(rows, tables.LAYOUT[k]) for k, rows in data.items()}
-    for k, f in frames.items():
-        f.write.parquet(str(tmp_path / f"{k}.parquet"))
+ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "binary": pa.binary()}
+
+
+class Layout:
+    """A layout that is put down page by page."""
+
+    def __init__(self):
+        self.rows = {k: [] for k in tables.LAYOUT}
+
+    def header(self, page, y, qid, topic, dash="-"):
+        for x, text in enumerate(["Quesito", "n.", qid, dash, topic]):
+            self.rows["words"].append(("d", page, len(self.rows["words"]), text, y, float(x)))
+
+    def table(self, page, y, *rows):
+        n = len(self.rows["tables"])
+        self.rows["tables"].append(("d", page, n, y))
+        self.rows["table_rows"] += [("d", page, n, i, list(r)) for i, r in enumerate(rows)]
+
+    def image(self, page, y, name, x0=450.0):
+        self.rows["images"].append(("d", page, len(self.rows["images"]), x0, y, name))
+
+    def asset(self, page, name, content):
+        n = len(self.rows["assets"])
+        self.rows["assets"].append(("d", page, n, name, n, "png", content))
+
+    def frames(self, spark):
+        return {k: spark.createDataFrame(v, tables.LAYOUT[k]) for k, v in self.rows.items()}
+
+
+def test_questions_by_hand(spark):
+    page = Layout()
+    page.table(1, 5.0, ["0", "before any header", "VERO"])  # dropped
+    page.header(1, 10.5, "7", "Signs")  # its line is at 10
+    page.table(1, 10.4, ["1", "just below\nits line", "vero "], ["Numero", "Testo", "R"], ["x", "no number", ""])
+    page.image(1, 30.0, "far"), page.image(1, 20.0, "near"), page.image(1, 15.0, "left", 400.0)
+    page.asset(1, "near", b"A"), page.asset(1, "near", b"B"), page.asset(1, "far", b"C")  # of one name the last
+    page.table(1, 40.0, ["2", None, "FALSO"])
+    page.header(1, 60.0, "8", "Lights", "–")  # no table follows on its page
+    page.table(2, 9.0, ["1", "of eight", ""], ["2"])  # continues 8, and brings its image
+    page.image(2, 1.0, "late"), page.asset(2, "late", b"A")
+    page.header(2, 20.0, "7", "Signs again")
+    page.table(2, 20.0, ["3", "on its header's line is not below", None])  # so this is still 8's
+    page.header(3, 5.0, "9", "Empty")
+    got = [(r.question_id, r.topic, [tuple(x) for x in r.sub_questions]) for r in sorted(quiz.questions(**page.frames(spark)).collect(), key=lambda r: r.seq)]
+    import hashlib
+
+    a, b = (hashlib.md5(x).hexdigest() + ".png" for x in (b"A", b"B"))
+    assert got == [
+        ("7", "Signs", [("1", "just below its line", True, b), ("2", "", False, b)]),
+        ("8", "Lights", [("1", "of eight", None, a), ("2", "", None, a), ("3", "on its header's line is not below", None, a)]),
+        ("7", "Signs again", []),
+        ("9", "Empty", []),
+    ]
+
+
+def scatter(rnd):
+    """Random headers, tables and images on a coarse grid, so that places often coincide."""
+    page = Layout()
+    for number in range(1, 4):
+        for y in rnd.sample(range(12), rnd.randrange(4)):
+            page.header(number, y * 10 + rnd.choice([0.0, 0.25]), rnd.choice("123"), "Topic", rnd.choice("-–"))
+        for y in rnd.sample(range(12), rnd.randrange(4)):
+            choice = [["Numero", "T", "R"], ["1 ", " a\nb", "vero"], [None, "x", "FALSO"], ["2", None, ""], ["4", "d", "falso"], ["5x", "", ""], ["6", "short"]]
+            page.table(number, y * 10 + rnd.choice([0.0, 0.3]), *rnd.sample(choice, rnd.randrange(6)))
+        for _ in range(rnd.randrange(3)):
+            page.image(number, float(rnd.randrange(120)), f"n{rnd.randrange(3)}", rnd.choice([400.0, 401.0]))
+            page.asset(number, f"n{rnd.randrange(3)}", rnd.choice([b"a", b"b"]))
+    return page
+
+
+def test_random_layouts_agree_with_sql(spark, tmp_path):
+    rnd, rows = random.Random(5), {k: [] for k in tables.LAYOUT}
+    for d in range(60):
+        for k, found in scatter(rnd).rows.items():
+            rows[k] += [(f"d{d}", *r[1:]) for r in found]
+    con = duckdb.connect()
+    for name, fields in tables.LAYOUT.items():
+        spark.createDataFrame(rows[name], fields).write.parquet(str(tmp_path / f"{name}.parquet"))
+        names, kinds = zip(*(f.split(" ") for f in fields.split(", ")))
+        con.register(name, pa.table([pa.array(list(c), ARROW[k]) for c, k in zip(zip(*rows[name]), kinds)], names=list(names)))
     found = quiz.questions(**tables.layout(spark, str(tmp_path)))
-    got = {}
-    for r in found.collect():
-        got.setdefault(r.doc, []).append((r.seq, r.question_id, r.topic, [tuple(x) for x in r.sub_questions]))
-    total = 0
-    for d in docs:
-        want = sequential(data, d)
-        total += sum(len(x[2]) for x in want)
-        assert [x[1:] for x in sorted(got.get(d, []))] == want, d
+    want = sorted(con.execute(f"WITH {products.QUESTIONS_SQL} SELECT doc, seq, question_id, topic, n_rows, rows FROM questions").fetchall())
+    assert sorted(tuple(r) for r in products.question_rows(found).collect()) == want and len(want) > 100
     sums = quiz.totals(found).first()
-    assert (sums.questions, sums.sub_questions) == (sum(map(len, got.values())), total) and total > 100
+    assert (sums.questions, sums.sub_questions) == (len(want), sum(r[4] for r in want))
     sinks.write_questions(found, str(tmp_path / "q"))
-    assert spark.read.json(str(tmp_path / "q")).count() == sums.questions
+    assert spark.read.json(str(tmp_path / "q")).count() == len(want)
 
 
 def test_nearest_is_strict(spark):
@@ -133,3 +116,10 @@ def test_outcomes(spark):
     df = spark.createDataFrame([(u, i + 1, s) for u, x in log.items() for i, s in enumerate(x)], "url string, attempt int, status int")
     got = {r.url: (r.fetched, r.success_attempt, r.tries, r.wait_s) for r in crawl.outcomes(df, ["url"]).collect()}
     assert got == {"once": (True, 1, 1, 0.0), "second": (True, 2, 2, 15.0), "never": (False, None, 3, 90.0), "missing": (False, None, 3, 4.5), "net": (True, 3, 3, 4.5), "fourth": (False, None, 3, 4.5)}
+
+
+def test_second_round_after_an_invalid_page(spark):
+    log = [("good", 1, 1, 200, True), ("good", 2, 1, 200, False), ("cured", 1, 1, 200, False), ("cured", 2, 1, 500, None), ("cured", 2, 2, 200, True), ("lost", 1, 1, 404, None), ("lost", 2, 1, 200, True), ("bad", 1, 1, 200, None), ("late", 2, 1, 200, True)]
+    df = spark.createDataFrame(log, "url string, round int, attempt int, status int, valid boolean")
+    got = {r.url: (r.fetched, r.valid, r.rounds, r.tries, r.wait_s) for r in crawl.resolve(df, ["url"]).collect()}
+    assert got == {"good": (True, True, 1, 1, 0.0), "cured": (True, True, 2, 3, 15.0), "lost": (False, False, 1, 1, 1.5), "bad": (True, False, 1, 1, 0.0)}
