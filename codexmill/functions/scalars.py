@@ -32,8 +32,13 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGES, "")
 
 
-def _table(entries: dict[str, str]) -> Column:
-    return F.str_to_map(F.lit("\1".join(f"{k}\2{v}" for k, v in entries.items())), F.lit("\1"), F.lit("\2"))
+def _look_up(entries: dict[str, str], name: Column) -> Column:
+    """The entry of a name; a map of its own for each first letter keeps the search short."""
+
+    def of(letter: str) -> Column:
+        return F.str_to_map(F.lit("\1".join(f"{k}\2{v}" for k, v in entries.items() if k[0] == letter)), F.lit("\1"), F.lit("\2"))
+
+    return F.try_element_at(F.get(F.array(*[of(chr(c)) for c in range(ord("A"), ord("z") + 1)]), F.ascii(name) - ord("A")), name)
 
 
 def _entity(found: Column) -> Column:
@@ -43,7 +48,7 @@ def _entity(found: Column) -> Column:
     point = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
     numeric = F.when(bad, F.lit("\ufffd")).when(code.between(128, 159), F.get(F.array(*map(F.lit, _C1)), code - 128)).otherwise(point)
-    named = F.when(found.endswith(";"), F.try_element_at(_table(ENTITIES), name)).otherwise(F.try_element_at(_table(OLD_ENTITIES), name))
+    named = F.when(found.endswith(";"), _look_up(ENTITIES, name)).otherwise(_look_up(OLD_ENTITIES, name))
     return F.when(name.startswith("#"), numeric).otherwise(F.coalesce(named, found))
 
 

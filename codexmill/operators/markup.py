@@ -33,7 +33,8 @@ def tokens(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
         F.when(~F.coalesce(markup, F.lit(False)), "text").when(F.col("raw").startswith("</"), "close")
         .when(tag.isin(VOID) | F.col("raw").endswith("/>"), "void").otherwise("open")
     )
-    cls = F.filter(F.split(F.regexp_extract("raw", r"""(?i)\sclass\s*=\s*["']([^"']*)""", 1), r"\s+"), lambda c: c != "")
+    opens = F.col("raw").startswith("<") & ~F.col("raw").startswith("</")
+    cls = F.filter(F.split(F.when(opens, F.regexp_extract("raw", r"""(?i)\sclass\s*=\s*["']([^"']*)""", 1)).otherwise(""), r"\s+"), lambda c: c != "")
     return raw.select(*keys, F.coalesce("i", F.lit(0)).alias("i"), kind.alias("kind"), F.when(markup, tag).alias("tag"), F.when(markup, cls).alias("cls"), F.when(~markup, S.strip(S.decode_entities(F.col("raw")))).alias("s"))
 
 
