@@ -108,8 +108,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one row of each group of equal texts; columns stay."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_of", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
-    joined = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_of"] == kept["_sha"]), "left_semi")
-    return joined.dropDuplicates([id_col, "_of"]).drop("_of")
+    """``docs`` with one row of each group of equal texts, that with the largest id; columns stay, whatever their names.
+
+    Of several rows with that id and text one stays, whole. A null text counts as empty; a row with a null id stays
+    only if its whole group has null ids.
+    """
+    sha = next(n for k in range(len(docs.columns) + 1) if (n := f"_sha{k}") not in docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(f"`{id_col}`").alias("_i"), F.unhex("text_sha256").alias("_s"))
+    marked = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256)))
+    joined = marked.join(kept, marked[f"`{id_col}`"].eqNullSafe(kept["_i"]) & (marked[sha] == kept["_s"]), "left_semi")
+    return joined.dropDuplicates([id_col, sha]).drop(sha)

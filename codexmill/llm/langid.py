@@ -179,7 +179,9 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
             })
 
     judge = F.pandas_udf(run, "lang_pred string, lang_score double, lang_distance double")
-    return rest.withColumn("_lang", judge(F.col(text_col))).select(*[rest[c] for c in rest.columns], *[F.col(f"_lang.{c}") for c in added])
+    struct = next(n for k in range(len(rest.columns) + 1) if (n := f"_lang{k}") not in rest.columns)
+    judged = rest.withColumn(struct, judge(F.col(f"`{text_col}`")))
+    return judged.select(*[F.col(f"`{c}`") for c in rest.columns], *[F.col(f"{struct}.{c}") for c in added])
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

@@ -43,7 +43,7 @@ SHARED = 4
 #: Elements in a bucket of lists, about.
 BUCKET = 1 << 19
 #: Elements in a block of a group, about.
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 LEADERS = 16
 #: Bytes of text that are handled at once.
 SLICE = 2 << 20
@@ -218,7 +218,8 @@ def kept_sets(docs: DataFrame, members: DataFrame, text_col: str) -> DataFrame:
                 })
 
     found = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "cls bigint, n bigint, data binary")
-    return found.join(members, "cls").dropDuplicates(["cls"])
+    # a class that many slices hold is thinned out in each task before it moves
+    return found.dropDuplicates(["cls"]).join(members, "cls")
 
 
 def _member_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +309,10 @@ def _search(rows: pa.Table) -> pa.Table:
 
 
 def _links(blocks: DataFrame) -> DataFrame:
-    return blocks.select("grp", "block", "guest", "cls", "comp", "asks", "data").groupBy("grp", "block", "guest").applyInArrow(_search, "a bigint, b bigint")
+    keys = ["grp", "block", "guest"]
+    # dealt by all three: grouping alone would keep a join's partitioning by group, and all blocks of a group in one task
+    dealt = blocks.select(*keys, "cls", "comp", "asks", "data").repartition(*keys)
+    return dealt.groupBy(*keys).applyInArrow(_search, "a bigint, b bigint")
 
 
 def linked(sets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -353,24 +357,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Links join sets of five-word shingles with 100 |x & y| >= 75 |x or y|. A text with
     fewer words has one element, one without words (null, empty, blank) none and no
-    link: its component is its own id. Equal ids are rows of their own. Sets are held
-    as 64-bit hashes of shingles. Columns other than the two named are not read.
+    link: its component is its own id. Equal ids are rows of their own. Where all ids of a component are
+    null, so is component_id. Sets are held as 64-bit hashes of shingles. Columns other than the two named are not
+    read, and these may have any names.
     """
-    rows = materialize(classes(docs, id_col, text_col), "classes")
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = materialize(classes(named, "id", "text"), "classes")
     total = rows.where("n_shingles > 0").agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, total / BUCKET)))))
-    pairs = materialize(candidates(docs, bits, frequent(docs, bits, text_col), text_col), "pairs")
+    pairs = materialize(candidates(named, bits, frequent(named, bits, "text"), "text"), "pairs")
     groups = materialize(components(pairs).select(F.col("node").alias("cls"), F.col("component").alias("grp")), "groups")
-    ties = linked(materialize(kept_sets(docs, groups, text_col), "sets"), block)
+    ties = linked(materialize(kept_sets(named, groups, "text"), "sets"), block)
     of = rows.join(ties.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = of.where("n_shingles > 0").groupBy("component").agg(F.min(id_col).alias("component_id"))
+    least = of.where("n_shingles > 0").groupBy("component").agg(F.min("id").alias("least"))
     least = materialize(least, "least")  # stored, so that the join's shuffles stand alone and a hot component is split
-    out = of.where("n_shingles > 0").join(least, "component").select(id_col, "n_shingles", "component_id")
-    return out.unionByName(of.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id")))
+    out = of.where("n_shingles > 0").join(least, "component").select("id", "n_shingles", "least")
+    out = out.unionByName(of.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("least")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that with the least id; columns stay."""
-    found = jaccard_components(docs, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    """``docs`` with one row of each component, that with the least id; columns stay, whatever their names.
+
+    Rows without words, linked with nothing, all stay. A row with a null id stays only if its whole component has
+    null ids. Of several rows with the least id one stays, whole. Rows are numbered in a stored copy of ``docs``.
+    """
+    row, own = (next(n for k in range(len(docs.columns) + 1) if (n := f"_{name}{k}") not in docs.columns) for name in ("row", "own"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(numbered, row, text_col).select(F.col(row).alias("r"), F.col("component_id").alias("c"))
+    ids = numbered.select(F.col(row).alias("r"), F.col(f"`{id_col}`").alias("i"))
+    first = F.min(F.struct(F.col("i").isNull(), "i", "r"))
+    stay = found.join(ids, "r").groupBy("c").agg(first.alias("s")).select(F.col("s.r").alias(own))
+    return numbered.join(stay, numbered[row] == stay[own], "left_semi").select(*[numbered[f"`{c}`"] for c in docs.columns])

@@ -156,7 +156,8 @@ def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     Without any labelled row the model scores 0.5 everywhere.
     """
     means = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-    train = materialize(described.join(means, id_col).select("x", "y", F.pmod(F.xxhash64(id_col), F.lit(FOLDS)).alias("fold")), "labelled")
+    both = described.select(F.col(f"`{id_col}`").alias("id"), F.col("x")).join(means.toDF("id", "y"), "id")
+    train = materialize(both.select("x", "y", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).alias("fold")), "labelled")
     k = len(FEATURES)
     sums = train.agg(F.count(F.lit(1)).alias("n"), *[f(F.get("x", F.lit(i)).cast("double")).alias(f"{a}{i}") for i in range(k) for a, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     rng = np.random.default_rng(SEED)
@@ -225,6 +226,8 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str
     A null text counts as empty. Only the named columns are read, and of ``labels``
     only its id and label. Repeated rows are scored, and learnt from, one by one.
     """
-    described = materialize(describe_all(docs, id_col, text_col), "described")
-    model = fit(described, labels.where(learn_from).select(id_col, label_col), id_col, label_col)
-    return score(described, model, id_col).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    described = materialize(describe_all(named, "id", "text"), "described")
+    known = labels.where(learn_from).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
+    found = score(described, fit(described, known, "id", "label"), "id")
+    return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

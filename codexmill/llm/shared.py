@@ -2,25 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-DIR_CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one named in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a new temporary folder is made and remembered.
-    """
-    found = spark.conf.get(DIR_CONF, None) or spark.sparkContext.getConf().get(DIR_CONF)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(DIR_CONF, found)
-    return found.rstrip("/")
+from ..sources.shared import new_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -30,7 +14,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     on shuffle files of executors that may be lost.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
