@@ -51,8 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     The component is the least node. Rounds of large and small stars run until nothing
     changes, each round cut off by a stored table; no node's neighbours are gathered,
-    only their minimum. The minima are stored too: both sides of the joins then are plain
-    shuffles, which adaptive execution splits where a node has very many edges.
+    only their minimum. The minima of large stars are stored too: both sides of that join then are
+    plain shuffles, which adaptive execution splits where a node has very many edges.
     """
     a, b = edges.columns
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v and u is not null and v is not null")
@@ -63,8 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        down = materialize(down, "down")
-        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         stars = materialize(small.where("u <> v").distinct(), "stars")
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
