@@ -10,6 +10,9 @@ Strings (phone and card digits, names in mail addresses, hexadecimal keys) are s
 halves; in each round the characters of one half are shifted, each within its own alphabet,
 by a key stream drawn from SHA-256 over key, kind, round and the other half. Numbers
 (addresses, dates) are pairs of residues treated alike. No Python runs on executors.
+
+Not looked for: names and postal addresses, phone numbers without a country code but for those of
+North America, IPv6 addresses, bank account numbers, and keys without one of the known beginnings.
 """
 
 from __future__ import annotations
@@ -26,16 +29,23 @@ _NOT_BEFORE, _NOT_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Each pattern matches whole candidates; validity beyond the pattern is tested in _valid.
 PATTERNS = {
-    "secret": rf"{_NOT_BEFORE}(?:[0-9a-f]{{64}}|[0-9a-f]{{40}}|[0-9a-f]{{32}}|[0-9A-F]{{64}}|[0-9A-F]{{40}}|[0-9A-F]{{32}}){_NOT_AFTER}",
+    "secret": rf"{_NOT_BEFORE}(?:[0-9a-f]{{64}}|[0-9a-f]{{40}}|[0-9a-f]{{32}}|[0-9A-F]{{64}}|[0-9A-F]{{40}}|[0-9A-F]{{32}}|A[KS]IA[0-9A-Z]{{16}}|sk-[0-9A-Za-z]{{20,64}}|ghp_[0-9A-Za-z]{{36}}){_NOT_AFTER}",
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,24}",
     "ipv4": rf"(?<![\p{{L}}\p{{N}}_.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}_])(?!\.\d)",
     "ssn": rf"(?<![\p{{L}}\p{{N}}_-])\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}_-])",
     "date": rf"{_NOT_BEFORE}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}}){_NOT_AFTER}",
-    "phone": rf"\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{4}}{_NOT_AFTER}|\+\d{{8,15}}{_NOT_AFTER}",
+    "phone": rf"\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{4}}{_NOT_AFTER}|\+\d{{8,15}}{_NOT_AFTER}|(?<![\p{{L}}\p{{N}}_.+-])(?:\([2-9]\d\d\) ?|[2-9]\d\d-)[2-9]\d\d-\d{{4}}(?![\p{{L}}\p{{N}}_-])",
     "card": rf"{_NOT_BEFORE}(?:\d{{13,19}}|\d{{4}}(?: \d{{4}}){{3}}|\d{{4}}(?:-\d{{4}}){{3}}|\d{{4}} \d{{6}} \d{{5}}|\d{{4}}-\d{{6}}-\d{{5}}){_NOT_AFTER}",
 }
 PATTERN = "|".join(PATTERNS[k] for k in KINDS)
 
+# Country calling codes of one and two digits; all others have three.
+CALLING_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Fixed beginnings of keys, which stay as they are.
+KEY_START = "^(?:A[KS]IA|sk-|ghp_)"
+#: Letters beyond ASCII move within their aligned block of so many code points.
+LETTER_BLOCK = 32
+
 #: Dates are numbered from the first day; the count of days is the product of the two residues.
 FIRST_DAY, DATE_A, DATE_B = "1900-01-01", 270, 271
 
@@ -49,8 +59,17 @@ def _byte(hexes: Column, i: Column) -> Column:
     return F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _chars(text: Column) -> Column:
+    """The characters (whole code points) of a string."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
+
+
+def _char(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
 def _shift(c: Column, by: Column, hexadecimal: bool) -> Column:
-    """One character moved within its alphabet; others stay."""
+    """One character moved within its alphabet: digits, a-z, A-Z, and blocks of letters beyond ASCII; marks stay."""
     code = F.ascii(c)
 
     def turn(first: str, size: int) -> Column:
@@ -64,24 +83,27 @@ def _shift(c: Column, by: Column, hexadecimal: bool) -> Column:
         return F.when(upper, digit("0123456789ABCDEF")).otherwise(digit("0123456789abcdef"))
     return (
         F.when(c.rlike("^[0-9]$"), turn("0", 10)).when(c.rlike("^[a-z]$"), turn("a", 26))
-        .when(c.rlike("^[A-Z]$"), turn("A", 26)).otherwise(c)
+        .when(c.rlike("^[A-Z]$"), turn("A", 26)).when(code >= 128, _char(code - code % LETTER_BLOCK + (code + by) % LETTER_BLOCK)).otherwise(c)
     )
 
 
 def permuted(text: Column, key: str, kind: str, hexadecimal: bool = False) -> Column:
-    """The string with its characters permuted by a Feistel network (halves up to 32 long)."""
-    half = F.expr("0").cast("int") + F.floor(F.length(text) / 2).cast("int")
+    """The string with its characters permuted by a Feistel network.
+
+    A single character has no halves: it moves by a keyed step that is never zero.
+    """
+    half = F.floor(F.length(text) / 2).cast("int")
 
     def one(state: Column, rnd: Column) -> Column:
         left, right = state["l"], state["r"]
-        turned = F.transform(
-            F.filter(F.split(left, ""), lambda c: c != ""),
-            lambda c, i: _shift(c, _byte(_hash(key, kind, rnd, F.concat_ws(":", F.length(left), right)), i % 32), hexadecimal),
-        )
+        seed = F.concat_ws(":", F.length(left), right)
+        turned = F.transform(_chars(left), lambda c, i: _shift(c, _byte(_hash(key, kind, rnd, seed), i % 32), hexadecimal))
         return F.struct(right.alias("l"), F.array_join(turned, "").alias("r"))
 
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one, lambda s: F.concat(s["l"], s["r"]))
+    whole = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one, lambda s: F.concat(s["l"], s["r"]))
+    step = _byte(_hash(key, kind, F.lit(0), F.lit("single")), F.lit(0)) % 9 + 1
+    return F.when(F.length(text) == 1, _shift(text, step, hexadecimal)).otherwise(whole)
 
 
 def permuted_pair(a: Column, b: Column, mod_a: int, mod_b: int, key: str, kind: str) -> Column:
@@ -108,14 +130,14 @@ def _luhn(digits: Column, offset: int) -> Column:
         v = c.cast("int")
         return total + F.when(twice, F.when(v > 4, v * 2 - 9).otherwise(v * 2)).otherwise(v)
 
-    items = F.filter(F.split(F.reverse(digits), ""), lambda c: c != "")
+    items = _chars(F.reverse(digits))
     indexed = F.transform(items, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
     return F.aggregate(indexed, F.lit(0), lambda total, x: add(total, x["c"], x["i"]))
 
 
 def _refill(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, in order, by those of ``digits``."""
-    items = F.filter(F.split(shape, ""), lambda c: c != "")
+    items = _chars(shape)
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
 
     def one(state: Column, c: Column) -> Column:
@@ -128,10 +150,19 @@ def _refill(shape: Column, digits: Column) -> Column:
     return F.aggregate(items, start, one, lambda s: s["s"])
 
 
+def _dotted(m: Column) -> Column:
+    return F.regexp_replace(m, "/", ".")
+
+
+def _month_first(m: Column) -> Column:
+    """Slashed dates are read as day/month, and as month/day where that gives no day."""
+    return m.contains("/") & F.try_to_date(_dotted(m), "dd.MM.yyyy").isNull()
+
+
 def _day(m: Column) -> Column:
     """The date of a match, or null if there is no such day."""
-    iso = F.try_to_date(m, "yyyy-MM-dd")
-    return F.when(m.rlike("^[0-9]{4}-"), iso).otherwise(F.try_to_date(F.regexp_replace(m, "[/]", "."), "dd.MM.yyyy"))
+    other = F.when(_month_first(m), F.try_to_date(_dotted(m), "MM.dd.yyyy")).otherwise(F.try_to_date(_dotted(m), "dd.MM.yyyy"))
+    return F.when(m.rlike("^[0-9]{4}-"), F.try_to_date(m, "yyyy-MM-dd")).otherwise(other)
 
 
 def _day_number(m: Column) -> Column:
@@ -157,34 +188,72 @@ def _kind(m: Column) -> Column:
     return out
 
 
-def _pseudonym(m: Column, kind: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    name = F.substring_index(m, "@", 1)
-    octets = F.transform(F.split(m, "[.]"), lambda o: o.cast("long"))
-    address = F.transform(F.array(permuted_pair(F.get(octets, F.lit(0)) * 256 + F.get(octets, F.lit(1)), F.get(octets, F.lit(2)) * 256 + F.get(octets, F.lit(3)), 65536, 65536, key, "ipv4")),
-        lambda p: F.concat_ws(".", *[x.cast("string") for v in (p["a"], p["b"]) for x in (F.shiftright(v, 8), v % 256)]))
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _address(m: Column, key: str) -> Column:
+    octet = [F.get(F.split(m, "[.]"), F.lit(i)).cast("long") for i in range(4)]
+    moved = permuted_pair(octet[0] * 256 + octet[1], octet[2] * 256 + octet[3], 65536, 65536, key, "ipv4")
+    return _with(moved, lambda p: F.concat_ws(".", *[x.cast("string") for v in (p["a"], p["b"]) for x in (F.shiftright(v, 8), v % 256)]))
+
+
+def _social(m: Column, key: str) -> Column:
+    """Areas 001-665 and 667-899, groups 01-99, serials 0001-9999."""
     area = F.substring(m, 1, 3).cast("long")
-    # areas 001-665 and 667-899, groups 01-99, serials 0001-9999
-    social = F.transform(F.array(permuted_pair(F.when(area > 666, area - 2).otherwise(area - 1), (F.substring(m, 5, 2).cast("long") - 1) * 9999 + F.substring(m, 8, 4).cast("long") - 1, 898, 99 * 9999, key, "ssn")),
-        lambda p: F.concat_ws("-", F.lpad((F.when(p["a"] > 664, p["a"] + 2).otherwise(p["a"] + 1)).cast("string"), 3, "0"), F.lpad((F.floor(p["b"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((p["b"] % 9999 + 1).cast("string"), 4, "0")))
+    place = F.when(area > 666, area - 2).otherwise(area - 1)
+    rest = (F.substring(m, 5, 2).cast("long") - 1) * 9999 + F.substring(m, 8, 4).cast("long") - 1
+
+    def shown(p: Column) -> Column:
+        parts = (F.when(p["a"] > 664, p["a"] + 2).otherwise(p["a"] + 1), 3), (F.floor(p["b"] / 9999) + 1, 2), (p["b"] % 9999 + 1, 4)
+        return F.concat_ws("-", *[F.lpad(v.cast("string"), n, "0") for v, n in parts])
+
+    return _with(permuted_pair(place, rest, 898, 99 * 9999, key, "ssn"), shown)
+
+
+def _date(m: Column, key: str) -> Column:
     number = _day_number(m).cast("long")
-    day = F.transform(F.array(permuted_pair(F.floor(number / DATE_B), number % DATE_B, DATE_A, DATE_B, key, "date")),
-        lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DATE_B + p["b"]).cast("int")))
-    day = F.get(day, F.lit(0))
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    card = F.transform(F.array(permuted(payload, key, "card")), lambda d: F.concat(d, F.pmod(F.lit(10) - _luhn(d, 1) % 10, F.lit(10)).cast("string")))
-    return (
-        F.when(kind == "secret", permuted(m, key, "secret", hexadecimal=True))
-        .when(kind == "email", F.concat(permuted(name, key, "email"), F.substring(m, F.length(name) + 1, F.length(m))))
-        .when(kind == "ipv4", F.get(address, F.lit(0)))
-        .when(kind == "ssn", F.get(social, F.lit(0)))
-        .when(kind == "date", F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy")))
-        .when(kind == "phone", F.concat(code, _refill(rest, permuted(F.regexp_replace(rest, "[^0-9]", ""), key, "phone"))))
-        .when(kind == "card", _refill(m, F.get(card, F.lit(0))))
-        .otherwise(m)
-    )
+    moved = permuted_pair(F.floor(number / DATE_B), number % DATE_B, DATE_A, DATE_B, key, "date")
+
+    def shown(p: Column) -> Column:
+        day = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DATE_B + p["b"]).cast("int"))
+        slashed = F.when(_month_first(m), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+        return F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("/"), slashed).otherwise(F.date_format(day, "dd.MM.yyyy"))
+
+    return _with(moved, shown)
+
+
+def _phone(m: Column, key: str) -> Column:
+    """All digits after the country code are permuted, so that notations of one number stay linked; without a code it is that of North America."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 0)).otherwise("")
+    moved = permuted(F.substring(digits, F.length(code) + 1, F.length(digits)), key, "phone")
+    return _refill(m, F.concat(code, moved))
+
+
+def _card(m: Column, key: str) -> Column:
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    payload = permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    return _refill(m, _with(payload, lambda d: F.concat(d, F.pmod(F.lit(10) - _luhn(d, 1) % 10, F.lit(10)).cast("string"))))
+
+
+def _secret(m: Column, key: str) -> Column:
+    start = F.regexp_extract(m, KEY_START, 0)
+    named = F.concat(start, permuted(F.substring(m, F.length(start) + 1, F.length(m)), key, "secret"))
+    return F.when(start != "", named).otherwise(permuted(m, key, "secret", hexadecimal=True))
+
+
+def _email(m: Column, key: str) -> Column:
+    name = F.substring_index(m, "@", 1)
+    return F.concat(permuted(name, key, "email"), F.substring(m, F.length(name) + 1, F.length(m)))
+
+
+def _pseudonym(m: Column, kind: Column, key: str) -> Column:
+    out = m
+    for name, of in (("secret", _secret), ("email", _email), ("ipv4", _address), ("ssn", _social), ("date", _date), ("phone", _phone), ("card", _card)):
+        out = F.when(kind == name, of(m, key)).otherwise(out)
+    return out
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
