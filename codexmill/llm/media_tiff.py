@@ -6,7 +6,7 @@ none), predictors are undone, and each directory gives one page of samples. File
 column are handled where they lie, one after another: no shuffle.
 
 ``store`` writes payloads losslessly as 8-bit grey pages 64 samples wide. So that all
-ways of storage are in use, compression, layout and predictor follow from the payload.
+ways of storage are in use, compression (a quarter each), layout and predictor follow from the payload.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .bpe import chunks
 
 # Numbers of tags, field types and compressions in TIFF files.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FILL_ORDER = 322, 323, 324, 325, 266
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -42,6 +42,11 @@ class Page(NamedTuple):
     compression: int
     predictor: int
     tiled: bool
+    bits: int  # of a sample; those of one bit are given as bytes 0 and 1
+
+
+#: No codec here makes more than so many bytes of one.
+MOST_EXPANSION = 4096
 
 
 def packbits(data: bytes) -> bytes:
@@ -160,16 +165,23 @@ def to_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decompress(data: bytes, compression: int) -> bytes:
+def decompress(data: bytes, compression: int, size: int) -> bytes:
+    """At least ``size`` bytes, or ValueError; sizes that the data cannot hold are refused before anything is made."""
+    if size > MOST_EXPANSION * len(data):
+        raise ValueError(f"{len(data)} bytes cannot hold {size}")
     if compression == NONE:
-        return data
-    if compression == LZW:
-        return lzw(data)
-    if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompressobj().decompress(data)
-    if compression == PACKBITS:
-        return packbits(data)
-    raise ValueError(f"compression {compression} is not known")
+        out = data
+    elif compression == LZW:
+        out = lzw(data)
+    elif compression in (DEFLATE, OLD_DEFLATE):
+        out = zlib.decompressobj().decompress(data, max(1, size))
+    elif compression == PACKBITS:
+        out = packbits(data)
+    else:
+        raise ValueError(f"compression {compression} is not known")
+    if len(out) < size:
+        raise ValueError("a strip or tile is too short")
+    return out
 
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]:
@@ -196,11 +208,11 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]
 
 
 def pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file, in order; ValueError if it is damaged or of a kind that isn't known."""
+    """The pages of a file, in order; ValueError if it is damaged or of a kind that isn't known (BigTIFF, floats, other codecs)."""
     try:
         for order, tags in directories(data):
             yield _page(data, order, tags)
-    except (struct.error, KeyError, IndexError, zlib.error) as e:
+    except (struct.error, KeyError, IndexError, OverflowError, zlib.error) as e:
         raise ValueError(f"damaged: {e!r}") from e
 
 
@@ -210,31 +222,41 @@ def _page(data: bytes, order: str, tags: dict[int, tuple[int, ...]]) -> Page:
 
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1)
     bits, planar, predictor, compression = one(BITS, 1), one(PLANAR, 1), one(PREDICTOR, 1), one(COMPRESSION, 1)
-    if bits not in (8, 16, 32) or len(set(tags.get(BITS, (bits,)))) > 1 or predictor not in (1, 2):
+    if bits not in (1, 8, 16, 32) or len(set(tags.get(BITS, (bits,)))) > 1 or predictor not in (1, 2) or (bits == 1 and predictor == 2):
         raise ValueError(f"{bits} bits with predictor {predictor} are not known")
-    kind = np.dtype(f"{order}u{bits // 8}")
-    deep = samples if planar == 1 else 1
-    out = np.zeros((height, width, samples), kind.newbyteorder("="))
     tiled = TILE_OFFSETS in tags
     if tiled:
         wide, high, offsets, counts = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         wide, high, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    if min(width, height, samples, wide, high) < 1 or planar not in (1, 2):
+        raise ValueError("sizes must be positive")
+    kind = np.dtype("u1" if bits == 1 else f"{order}u{bits // 8}")
+    deep = samples if planar == 1 else 1
     across, down = -(-width // wide), -(-height // high)
-    if len(offsets) != across * down * (1 if planar == 1 else samples):
+    if len(offsets) != across * down * (1 if planar == 1 else samples) or len(offsets) != len(counts):
         raise ValueError("wrong number of strips or tiles")
-    for k, (a, n) in enumerate(zip(offsets, counts, strict=True)):
+    line = -(-wide * deep // 8) if bits == 1 else wide * deep * kind.itemsize
+    # all parts are decoded before the page is made: it holds no more than they do
+    parts = []
+    for k, (a, n) in enumerate(zip(offsets, counts)):
+        rows = high if tiled else min(high, height - k % (across * down) // across * high)
+        parts.append((rows, decompress(data[a : a + n], compression, rows * line)))
+    out = np.zeros((height, width, samples), kind.newbyteorder("="))
+    for k, (rows, raw) in enumerate(parts):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * high, cell % across * wide
-        rows = high if tiled else min(high, height - y)
-        block = np.frombuffer(decompress(data[a : a + n], compression), kind, rows * wide * deep)
-        block = block.reshape(rows, wide, deep).astype(out.dtype)
+        if bits == 1:
+            packed = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line)
+            block = np.unpackbits(packed, axis=1, bitorder="little" if one(FILL_ORDER, 1) == 2 else "big")[:, : wide * deep].reshape(rows, wide, deep)
+        else:
+            block = np.frombuffer(raw, kind, rows * wide * deep).reshape(rows, wide, deep).astype(out.dtype)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=out.dtype)
         part = block[: height - y, : width - x]
         first = 0 if planar == 1 else plane
         out[y : y + part.shape[0], x : x + part.shape[1], first : first + deep] = part
-    return Page(out, compression, predictor, tiled)
+    return Page(out, compression, predictor, tiled, bits)
 
 
 def write(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tiled: bool = False, order: str = "<") -> bytes:
@@ -283,7 +305,7 @@ def stored(payload: bytes) -> bytes:
     """A payload (a positive multiple of ROW bytes) as a file; its checksum picks the way of storage."""
     grid = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     draw = zlib.crc32(payload)
-    compression = {0: LZW, 1: PACKBITS, 2: NONE}.get(draw % 16, DEFLATE)
+    compression = (LZW, PACKBITS, NONE, DEFLATE)[draw % 4]
     return write([grid[i : i + PAGE_ROWS] for i in range(0, len(grid), PAGE_ROWS)], compression, 2 if draw >> 8 & 1 else 1, bool(draw >> 9 & 1), ">" if draw >> 10 & 1 else "<")
 
 
@@ -334,7 +356,7 @@ def explode_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "me
                     for p in pages(data.as_py()):
                         h, w, s = p.samples.shape
                         raw = p.samples.astype(p.samples.dtype.newbyteorder("<")).tobytes()
-                        rows.append((k, w, h, s, p.samples.dtype.itemsize * 8, p.compression, p.predictor, p.tiled, raw, None))
+                        rows.append((k, w, h, s, p.bits, p.compression, p.predictor, p.tiled, raw, None))
                         k += 1
                 except ValueError as e:
                     rows.append((k, *[None] * 8, str(e)))
@@ -345,7 +367,11 @@ def explode_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "me
 
 
 def measure(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read stored files (id, n_bytes, media) back: sizes, digests and a feature of each payload."""
+    """Read stored files (id, n_bytes, media) back: sizes, digests and a feature of each payload.
+
+    A null file gives nulls; a damaged one has its own size and digest, and as feature "damaged". Repeated rows are
+    read one by one.
+    """
     kind = files.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
@@ -353,7 +379,14 @@ def measure(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             rows = []
             for media in batch.column(2).to_pylist():
-                images = [p.samples[:, :, 0] for p in pages(media)]
+                if media is None:
+                    rows.append((None,) * 6)
+                    continue
+                try:
+                    images = [p.samples[:, :, 0] for p in pages(media)]
+                except ValueError:
+                    rows.append((None, None, None, len(media), hashlib.sha256(media).hexdigest(), "damaged"))
+                    continue
                 payload = b"".join(i.tobytes() for i in images)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature(images)))
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
