@@ -23,18 +23,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, that with the largest id; null and empty texts are equal."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of texts with a Jaccard similarity of 0.75 or more, that with the least id; rows without words all stay."""
     return ngram_join.keep_one(docs)
 
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and keys in texts replaced by pseudonyms; all rows and other columns stay, null texts are null."""
     return pii.pseudonymize(docs, pii.DEMO_KEY).drop("pii")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; a null or empty text is its end id alone, repeated rows are packed one by one."""
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
