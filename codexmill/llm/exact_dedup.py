@@ -6,51 +6,44 @@ bytes are equal. Then adjacent pairs of names get names in the same manner, agai
 and again, until each text has one name left: its collision-free identity among the
 texts of its length. No decision rests on a hash: hashes only deal out the work.
 
-Names are handed out within buckets (``dense_rank`` over the sorted keys of a bucket),
-which keeps the sort distributed. The most frequent keys, at most ``HOT_KEYS`` of them,
-take another way, since a key that fills a third of the table would otherwise meet in
-one task: they are numbered once and joined back by a broadcast of that bounded list.
+Only distinct keys are named: every task first makes the sets of its own keys by bucket of
+their hash, and the sets are joined by a shuffle and sorted. So a key that fills a third of the
+table costs one entry a task. Names go back to rows by the key's hash where the bucket shows that no two of its keys
+share one, and by the whole key in all other buckets. The table of names is stored, so that this join is
+two plain shuffles, and adaptive execution splits a hot key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
 BLOCK_BYTES = 8192
-#: At most so many keys are broadcast, each of at most BLOCK_BYTES.
-HOT_KEYS = 256
-#: A key with fewer rows than this never counts as hot.
-HOT_ROWS = 256
-BUCKETS = 1 << 16
+#: More buckets than tasks: a bucket is sorted as one array, of 25 MB or so if there are 100 TB of distinct blocks.
+BUCKETS = 1 << 22
 
 
-def _cold_name(bucket: str, key: str) -> Column:
-    """bucket * 2^40 + place of the key among the sorted keys of its bucket."""
-    place = F.dense_rank().over(Window.partitionBy(bucket).orderBy(key))
-    return F.shiftleft(F.col(bucket).cast("long"), 40) + place
+def _hash(key: str) -> Column:
+    return F.xxhash64(key)
 
 
 def _named(df: DataFrame, key: str) -> DataFrame:
-    """Replace column ``key`` by a long ``name``; equal keys and only these share one."""
-    hashed = df.withColumn("_h", F.xxhash64(key))
-    top = (
-        hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "_h").limit(HOT_KEYS).collect()
+    """Replace column ``key`` by a long ``name``: bucket * 2^40 + the key's place in it; equal keys and only these share one."""
+    hashed = df.withColumn("_h", _hash(key))
+    sets = hashed.groupBy(F.pmod("_h", F.lit(BUCKETS)).alias("_b")).agg(F.sort_array(F.collect_set(key)).alias("_keys"))
+    clash = F.size(F.array_distinct(F.transform("_keys", lambda x: _hash(x)))) < F.size("_keys")
+    each = sets.select("_b", clash.alias("_clash"), F.posexplode("_keys").alias("_place", "_key"))
+    names = each.select(
+        _hash("_key").alias("_h"), (F.shiftleft("_b", 40) + F.col("_place")).alias("name"), "_clash", F.when(F.col("_clash"), F.col("_key")).alias("_key")
     )
-    hot = [r["_h"] for r in top]
-    cold = hashed.where(~F.col("_h").isin(hot)) if hot else hashed
-    cold = cold.withColumn("_b", F.pmod("_h", F.lit(BUCKETS))).withColumn("name", _cold_name("_b", key))
-    cold = cold.drop("_h", "_b", key)
-    if not hot:
-        return cold
-    warm = hashed.where(F.col("_h").isin(hot)).drop("_h")
-    keys = warm.select(key).distinct()
-    keys = keys.select(F.col(key).alias("_key"), (-F.row_number().over(Window.orderBy(key))).cast("long").alias("name"))
-    warm = warm.join(F.broadcast(keys), F.col(key) == F.col("_key")).drop("_key", key)
-    return cold.unionByName(warm)
+    names = materialize(names, "names")
+    out = hashed.drop(key).join(names.where("not _clash").select("_h", "name"), "_h").drop("_h")
+    clashes = names.where("_clash").select("_h", F.col("_key").alias(key), "name")
+    if clashes.limit(1).count():
+        out = out.unionByName(hashed.join(clashes, ["_h", key]).drop("_h", key))
+    return out
 
 
 def text_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

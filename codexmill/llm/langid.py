@@ -24,13 +24,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import chunks
+from .shared import materialize
 
 PROFILE = 400
 #: N-grams of a language that a task sums up before it sends them.
 HELD = 200_000
 UNDETERMINED = "und"
-#: A document whose mean distance to the best profile is over this share of the largest is in no known language.
-REJECT_ABOVE = 0.9
+#: A document is in no known language if its distance is over that of 99 % of the training rows, and MARGIN more ...
+USUAL = 0.99
+MARGIN = 0.15
+#: ... where that sum is held within these bounds, since few training rows fit their own profiles too well, and noisy ones badly.
+CUT_BOUNDS = (0.6, 0.9)
 
 Profiles = dict[str, np.ndarray]
 
@@ -120,13 +124,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def rank(texts: list[str], profiles: Profiles, size: int = PROFILE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(best language, score, mean distance of the best as a share of the largest) of each text."""
+def rank(texts: list[str], profiles: Profiles, size: int = PROFILE) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(best language, score, mean distance of the best as a share of the largest, n-grams ranked) of each text."""
     names = sorted(profiles)
     n = len(texts)
     codes, owner = ngrams(texts)
     if not len(codes) or not names:
-        return [UNDETERMINED] * n, np.zeros(n), np.ones(n)
+        return [UNDETERMINED] * n, np.zeros(n), np.ones(n), np.zeros(n, np.int64)
     order = np.lexsort((codes, owner))
     codes, owner = codes[order], owner[order]
     new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])])
@@ -138,7 +142,8 @@ def rank(texts: list[str], profiles: Profiles, size: int = PROFILE) -> tuple[lis
     place = np.arange(len(owner)) - first[owner]
     top = place < size
     codes, owner, place = codes[top], owner[top], place[top]
-    total = np.maximum(np.bincount(owner, minlength=n), 1)
+    ranked = np.bincount(owner, minlength=n)
+    total = np.maximum(ranked, 1)
     far = np.empty((n, len(names)))
     for j, name in enumerate(names):
         profile = profiles[name]
@@ -150,20 +155,20 @@ def rank(texts: list[str], profiles: Profiles, size: int = PROFILE) -> tuple[lis
     best = far.argmin(axis=1)
     near = 1 - far
     score = near[np.arange(n), best] / np.maximum(near.sum(axis=1), 1e-12)
-    some = np.bincount(owner, minlength=n) > 0
+    some = ranked > 0
     least = np.where(some, far[np.arange(n), best], 1.0)
     langs = [names[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)]
-    return langs, np.where(some, np.clip(score, 0, 1), 0.0), least
+    return langs, np.where(some, np.clip(score, 0, 1), 0.0), least, ranked
 
 
-def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score (0 to 1) and lang_distance (0 to 1).
+def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", with_ngrams: bool = False) -> DataFrame:
+    """``docs`` with lang_pred, lang_score (0 to 1) and lang_distance (0 to 1), and lang_ngrams (distinct ones ranked, PROFILE at most) if asked for.
 
-    A text that is null or has no letter is ``und`` with score 0 and distance 1. Ties
+    A text that is null or has no letter is ``und`` with score 0, distance 1 and no n-grams. Ties
     go to the language first in alphabetical order. Rows are handled where they are read;
-    all other columns pass through, but for old columns of these three names.
+    all other columns pass through, but for old columns of the names added.
     """
-    added = ["lang_pred", "lang_score", "lang_distance"]
+    added = ["lang_pred", "lang_score", "lang_distance"] + ["lang_ngrams"] * with_ngrams
     rest = docs.drop(*added)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(profiles)  # PROFILE codes for each language
@@ -176,14 +181,34 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
                 "lang_pred": [x for p in parts for x in p[0]],
                 "lang_score": np.concatenate([p[1] for p in parts] or [[]]),
                 "lang_distance": np.concatenate([p[2] for p in parts] or [[]]),
+                "lang_ngrams": np.concatenate([p[3] for p in parts] or [np.zeros(0, np.int64)]),
             })
 
-    judge = F.pandas_udf(run, "lang_pred string, lang_score double, lang_distance double")
+    judge = F.pandas_udf(run, "lang_pred string, lang_score double, lang_distance double, lang_ngrams bigint")
     struct = next(n for k in range(len(rest.columns) + 1) if (n := f"_lang{k}") not in rest.columns)
     judged = rest.withColumn(struct, judge(F.col(f"`{text_col}`")))
     return judged.select(*[F.col(f"`{c}`") for c in rest.columns], *[F.col(f"{struct}.{c}") for c in added])
 
 
+def known(docs: DataFrame, trained: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are in one of the languages learnt from the rows that ``trained`` marks.
+
+    A row goes if its text is null or has no letter, or if its distance to the best profile is over a cut: MARGIN over that of
+    99 % of the training rows, held within CUT_BOUNDS, and 1 / sqrt(n) more for a text of n n-grams, as the mean distance of
+    a short text says little. Columns stay as they are, whatever their names; rows are judged once, in a stored
+    copy. Without training rows nothing is known, and all rows go.
+    """
+    read = lambda c: F.col(f"`{c}`")
+    apart = docs.select(F.struct(*[read(c) for c in docs.columns]).alias("row"), read(text_col).alias("text"), (trained & read(lang_col).isNotNull()).alias("trained"))
+    learnt = docs.where(trained).select(read(text_col).alias("text"), read(lang_col).alias("lang"))
+    judged = materialize(predict(apart, learn(learnt), with_ngrams=True).drop("text"), "judged")
+    usual = judged.where("trained and lang_ngrams > 0").agg(F.percentile_approx("lang_distance", USUAL)).first()[0]
+    least, most = CUT_BOUNDS
+    cut = min(max((usual or 0.0) + MARGIN, least), most)
+    stay = (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_distance") <= F.lit(cut) + 1 / F.sqrt("lang_ngrams"))
+    return judged.where(stay).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def held_out(id_col: str, parts: int, part: int) -> Column:
     """True for rows whose crc32 of the id as text has the given remainder."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
