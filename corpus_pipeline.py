@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codexmill.llm import exact_dedup, langid, ngram_join, packing, pii
 from codexmill.llm.queries import tokenizer_file
@@ -16,10 +15,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learnt languages; without letters, or far from all profiles, they go."""
-    profiles = langid.learn(docs.where(~langid.held_out("doc_id", 4, 2)))
-    judged = langid.predict(docs, profiles)
-    known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_distance") <= langid.REJECT_ABOVE)
-    return judged.where(known).select(*docs.columns)
+    return langid.known(docs, ~langid.held_out("doc_id", 4, 2))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
