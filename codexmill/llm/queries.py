@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, lm_score, media_tiff, ngram_join, packing, pii, quality
+from . import bpe, exact_dedup, langid, line_dedup, lm_score, media_tiff, ngram_join, packing, periodic, pii, quality, quality_rules, spelling
 from .shared import table
 
 
@@ -71,6 +71,49 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def _crc(*parts: Column) -> Column:
+    """crc32 of the parts as text, a null being empty."""
+    return F.crc32(F.concat(*[F.coalesce(c.cast("string"), F.lit("")) for c in parts]).cast("binary"))
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of which one letter is taken out now and then, by a hash of document and run; a null id counts as an empty one."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    h, run = _crc(F.col("id"), F.lit(":"), F.col("run")), F.col("run")
+    at = (h % F.length(run)).cast("int")
+    words = runs.select(F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run).alias("word"))
+    return spelling.group_variants(spelling.count_words(words))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
+
+
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth text, by a hash of its id, goes on from some word with a short stretch of itself again and again; rows without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"), h.alias("h"), F.floor(h / 10).alias("g"))
+    n, g = F.size("w"), F.col("g")
+    start = (g % n).cast("int")
+    placed = words.where("h % 10 = 0 and size(w) > 0").select("doc_id", "w", start.alias("a"), (1 + F.floor((n - start) / (3 + g % 8))).cast("int").alias("p"))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get(F.col("w"), F.col("a") + F.pmod(i - F.col("a"), F.col("p")))))
+    others = words.where("not coalesce(h % 10 = 0 and size(w) > 0, false)")
+    return others.select("doc_id", "text").unionByName(placed.select("doc_id", F.array_join(again, " ").alias("text")))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(repeated_texts(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    length, period = -best["length"], best["period"]
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -82,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_media_tiff": op9_media_tiff,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_periodic": op13_periodic,
 }
 
 ORACLES: dict[str, str] = {
@@ -104,4 +150,5 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256
         FROM d JOIN g USING (h)
     """,
+    "op12_quality_rules": quality_rules.SQL,
 }
