@@ -23,6 +23,9 @@ ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
 #: Names of HTML entities and what they stand for: those that end in a semicolon, and the older ones that need none.
 ENTITIES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
 OLD_ENTITIES = {k: v for k, v in html5.items() if not k.endswith(";")}
+#: The names that most texts make do with; a text with any other entity goes through the tables.
+COMMON = ["nbsp", "copy", "middot", "quot", "agrave", "egrave", "igrave", "ograve", "ugrave", "eacute", "deg", "lt", "gt", "amp"]
+_UNCOMMON = rf"&(?!(?:{'|'.join(COMMON)});)[#A-Za-z]"
 #: Numbers 128 to 159 are read as bytes of the Windows code page, where it has them.
 _C1 = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)]
 
@@ -57,7 +60,10 @@ def decode_entities(c: Column) -> Column:
     decoded = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), 0), _entity)
     gaps = F.split(c, ENTITY, -1)
     joined = F.array_join(F.zip_with(gaps, F.array_append(decoded, F.lit("")), lambda g, d: F.concat(g, d)), "")
-    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+    common = c
+    for name in COMMON:  # the ampersand comes last, so nothing is decoded twice
+        common = F.replace(common, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
+    return F.when(~F.contains(c, F.lit("&")), c).when(c.rlike(_UNCOMMON), joined).otherwise(common)
 
 
 def query_get(query: Column, key: str, prefix: str = "art.") -> Column:

@@ -27,39 +27,38 @@ def _commas() -> Column:
     """For every comma its place and its text; the text is null if the comma holds no text span."""
 
     def one(comma: Column) -> Column:
-        body = F.get(M.within(M.with_class(COMMA_TEXT), comma), F.lit(0))
-        number = F.get(M.within(M.with_class(COMMA_NUMBER), comma), F.lit(0))
+        body = F.get(M.within(F.col("bodies"), comma), F.lit(0))
+        number = F.get(M.within(F.col("numbers"), comma), F.lit(0))
         prefix = F.when(number.isNotNull(), F.concat(M.text_of(number, ""), F.lit(" "))).otherwise("")
         return F.struct(comma["open_i"].alias("open_i"), F.when(body.isNotNull(), F.concat(prefix, M.text_of(body, " "))).alias("text"))
 
     return F.transform(M.with_class(COMMA), one)
 
 
-def _outline(pages: DataFrame, keys: list[str], classes: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    return M.outline(pages, keys, F.arrays_overlap("cls", F.array(*map(F.lit, classes))), carry=carry)
-
-
 def parse(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, number, title, text, paragraphs, url, scraped_at, repealed, and title_clean, repealed_article.
+    """keys, number, title, text, paragraphs, url, scraped_at, repealed, and title_clean, repealed_article, rejected.
 
-    ``pages`` has keys, which tell pages apart, url, html. The last two columns are cleaner readings: the title without
-    blanks at its ends, and whether the article itself (not one comma) is repealed. Pages are tokenised and shuffled once.
+    ``pages`` has keys, url, html. The last three columns are additions: the title without blanks at its ends; whether the
+    article itself (not one comma) is repealed; the places of commas without a text span, which the paragraphs leave out.
+    Every page is worked on in its own row, without a shuffle.
     """
     mention = F.coalesce(F.contains(F.lower("html"), F.lit(REPEALED)), F.lit(False))
-    found = _outline(pages.withColumn("_mention", mention), keys, _ALL, ("url", "_mention"))
+    found = M.outline(pages.withColumn("_mention", mention), keys, M.any_class(*_ALL), carry=("url", "_mention"))
+    found = found.withColumns({"bodies": M.with_class(COMMA_TEXT), "numbers": M.with_class(COMMA_NUMBER)})
+    found = found.withColumn("commas", _commas())
 
     def first_text(cls: str, sep: str) -> Column:
         return F.coalesce(M.text_of(F.get(M.with_class(cls), F.lit(0)), sep), F.lit(""))
 
     title = F.trim(first_text(HEADING, ""), F.lit("().")).alias("title")
-    texts = F.transform(F.filter(_commas(), lambda x: x["text"].isNotNull()), lambda x: x["text"])
+    texts = F.transform(F.filter("commas", lambda x: x["text"].isNotNull()), lambda x: x["text"])
+    rejected = F.transform(F.filter("commas", lambda x: x["text"].isNull()), lambda x: x["open_i"])
     return found.select(
         *keys, S.without_prefix(first_text(NUMBER, "")).alias("number"), title, first_text(PREAMBLE, " ").alias("text"), texts.alias("paragraphs"), "url", S.iso_now().alias("scraped_at"),
-        ((F.size(M.with_class(REPEALED)) > 0) | F.col("_mention")).alias("repealed"), S.strip(title).alias("title_clean"), (F.size(M.with_class(REPEALED_ARTICLE)) > 0).alias("repealed_article"),
+        ((F.size(M.with_class(REPEALED)) > 0) | F.col("_mention")).alias("repealed"), S.strip(title).alias("title_clean"), (F.size(M.with_class(REPEALED_ARTICLE)) > 0).alias("repealed_article"), rejected.alias("rejected"),
     )
 
 
-def rejected_commas(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, open_i) of commas without a text span, whose text the records don't hold."""
-    found = _outline(pages, keys, [COMMA, COMMA_NUMBER, COMMA_TEXT])
-    return found.select(*keys, F.explode(_commas()).alias("c")).where("c.text is null").select(*keys, "c.open_i")
+def rejected_commas(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, open_i) of commas without a text span, from the records that ``parse`` makes."""
+    return records.select(*keys, F.explode("rejected").alias("open_i"))

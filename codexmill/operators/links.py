@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import stored
+from . import layout
 
 # Fixed value: a link to an article, with its query.
 ARTICLE_LINK = r"caricaArticolo\?([^'\"]+)"
@@ -25,10 +27,20 @@ def first_of(rows: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     return first.select(*keys, "_row.*").select(*rows.columns)
 
 
-def numeric_place(rows: DataFrame, keys: list[str], within: list[str], out: str = "place") -> DataFrame:
-    """Place of each row within its group when keys (strings) are sorted as integers; non-numbers first, as nulls."""
+def numeric_place(rows: DataFrame, keys: list[str], within: list[str], out: str = "place", ranges: int | None = None) -> DataFrame:
+    """Place of each row within its group when keys (strings) are sorted as integers; non-numbers first, as nulls.
+
+    With ``ranges`` rows are dealt into so many ordered ranges and numbered in each, and a range starts at the number of rows that
+    earlier ranges have of its group; so neither a large group nor one place in all rows (``within`` empty) needs a task that holds it.
+    """
     order = [F.col(k).try_cast("bigint") for k in keys]
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+    if ranges is None:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+    placed = layout.in_ranges(rows, within, order, ranges)
+    placed = stored(placed.withColumn(out, F.row_number().over(Window.partitionBy(layout.RANGE, *within).orderBy(*order)).cast("long")), "ranges")
+    sizes = placed.groupBy(layout.RANGE, *within).agg(F.count(F.lit(1)).alias("_n"))
+    joined = layout.with_earlier(placed, layout.from_earlier(sizes, within, _before=F.sum("_n")), within)
+    return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_before", layout.RANGE)
 
 
 def article_links(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:

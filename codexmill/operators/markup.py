@@ -1,12 +1,14 @@
-"""Class-scoped extraction from HTML as joins and windows over a token table.
+"""Class-scoped extraction from HTML: a page's tokens are an array, and a stack machine folds over it.
 
-``outline`` deals pages once by their keys, and its windows keep that partitioning: tokens, element
-scopes and texts come from one pass, and what is asked of a page are expressions on its arrays.
+``outline`` works on each row by itself: nothing is exploded, shuffled or sorted across rows. What is asked of a page
+are expressions on its arrays of texts and scopes. ``tokens`` is the same tokenisation as a table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -16,52 +18,100 @@ TOKEN = r'<(?:"[^"]*"|[^>"])*>|[^<]+'
 # Elements that have no end tag.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
+#: Which elements are wanted, by their tag and their classes.
+Wanted = Callable[[Column, Column], Column]
+SCOPE = "struct<open_i:int,close_i:int,tag:string,cls:array<string>,t0:int,t1:int>"
+
 
 def token_array(html: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), NOT_CONTENT, ""), F.lit(TOKEN), 0)
 
 
+def _markup(raw: Column) -> Column:
+    return F.coalesce(raw.startswith("<"), F.lit(False))
+
+
+def _tag(raw: Column) -> Column:
+    return F.when(_markup(raw), F.lower(F.regexp_extract(raw, r"^</?\s*([A-Za-z][A-Za-z0-9:-]*)", 1)))
+
+
+def _kind(raw: Column, tag: Column) -> Column:
+    return F.when(~_markup(raw), "text").when(raw.startswith("</"), "close").when(tag.isin(VOID) | raw.endswith("/>"), "void").otherwise("open")
+
+
+def _classes(raw: Column) -> Column:
+    found = F.regexp_extract(raw, r"""(?i)\sclass\s*=\s*["']([^"']*)""", 1)
+    opens = _markup(raw) & ~raw.startswith("</")
+    return F.when(opens, F.filter(F.split(found, r"\s+"), lambda c: c != "")).when(_markup(raw), F.array().cast("array<string>"))
+
+
 def tokens(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """(keys, i, kind, tag, cls, s): kind is open, void, close or text; s is a text token's stripped text.
 
     A page without tokens has one row, of kind text without a text.
     """
     raw = pages.select(*keys, F.posexplode_outer(token_array(F.col(html))).alias("i", "raw"))
-    tag = F.lower(F.regexp_extract("raw", r"^</?\s*([A-Za-z][A-Za-z0-9:-]*)", 1))
-    markup = F.col("raw").startswith("<")
-    kind = (
-        F.when(~F.coalesce(markup, F.lit(False)), "text").when(F.col("raw").startswith("</"), "close")
-        .when(tag.isin(VOID) | F.col("raw").endswith("/>"), "void").otherwise("open")
-    )
-    opens = F.col("raw").startswith("<") & ~F.col("raw").startswith("</")
-    cls = F.filter(F.split(F.when(opens, F.regexp_extract("raw", r"""(?i)\sclass\s*=\s*["']([^"']*)""", 1)).otherwise(""), r"\s+"), lambda c: c != "")
-    return raw.select(*keys, F.coalesce("i", F.lit(0)).alias("i"), kind.alias("kind"), F.when(markup, tag).alias("tag"), F.when(markup, cls).alias("cls"), F.when(~markup, S.strip(S.decode_entities(F.col("raw")))).alias("s"))
+    text, tag = F.col("raw"), _tag(F.col("raw"))
+    return raw.select(*keys, F.coalesce("i", F.lit(0)).alias("i"), _kind(text, tag).alias("kind"), tag.alias("tag"), _classes(text).alias("cls"), F.when(~_markup(text), S.strip(S.decode_entities(text))).alias("s"))
 
 
-def outline(pages: DataFrame, keys: list[str], wanted: Column, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per page: keys, ``carry``, ``texts`` (its non-empty stripped strings, in order) and ``scopes``.
+def _step(wanted: Wanted) -> Callable[[Column, Column], Column]:
+    """One token: texts are counted, an opening goes onto the stack, a closing takes off all down to the last opening of its tag.
+
+    Of what is taken off, the wanted ones are scopes. The stack has its last opening first. A closing without an opening changes nothing.
+    """
 
-    Scopes are the elements whose opening token (tag, cls) satisfies ``wanted``, in order: open_i, close_i, tag, cls,
-    and t0, t1, so that texts t0 to t1 - 1 lie within. Depth is counted for each tag by itself, so that a stray tag
-    spoils no other tag. An element that is never closed reaches to the end of the page (close_i null). A page is tokenised once and dealt once by its keys, which tell pages apart.
+    def step(state: Column, token: Column) -> Column:
+        stack, kind = state["stack"], token["kind"]
+        opening = F.struct(
+            token["tag"].alias("tag"), token["i"].alias("i"), F.when(wanted(token["tag"], token["cls"]), token["cls"]).alias("cls"), state["t"].alias("t"),
+        )
+        down = F.array_position(stack["tag"], token["tag"]).cast("int")
+        closed = F.transform(
+            F.filter(F.slice(stack, F.lit(1), down), lambda x: x["cls"].isNotNull()),
+            lambda x: F.struct(x["i"].alias("open_i"), token["i"].alias("close_i"), x["tag"].alias("tag"), x["cls"].alias("cls"), x["t"].alias("t0"), state["t"].alias("t1")),
+        )
+        return F.struct(
+            F.when((kind == "text") & (token["s"] != ""), state["t"] + 1).otherwise(state["t"]).alias("t"),
+            F.when(kind == "open", F.concat(F.array(opening), stack)).when(kind == "close", F.slice(stack, down + 1, F.size(stack))).otherwise(stack).alias("stack"),
+            F.when((kind == "close") & (down > 0), F.concat(state["done"], closed)).otherwise(state["done"]).alias("done"),
+        )
+
+    return step
+
+
+def outline(pages: DataFrame, keys: list[str], wanted: Wanted, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``pages``: keys, ``carry``, ``texts`` (its non-empty stripped strings, in order) and ``scopes``.
+
+    Scopes are the elements whose opening is wanted, in order: open_i, close_i, tag, cls, and t0, t1, so that texts t0 to
+    t1 - 1 lie within. They nest as a stack of open elements has it: an end tag closes its element and all that are still
+    open within it; one without an open element is passed over. An element that is never closed reaches to the end of
+    the page (close_i null). A null page has neither texts nor scopes. Work on a page grows with its tokens, times the elements open at once.
     """
-    rows = [*keys, *carry]
-    toks = tokens(pages.select(*rows, html).repartition(*[F.col(k) for k in keys]), rows, html)
-    said = (F.col("kind") == "text") & (F.col("s") != "")
-    upto = Window.partitionBy(*rows).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    depth = F.sum(step).over(Window.partitionBy(*rows, "tag").orderBy("i"))
-    leveled = toks.withColumn("t", F.count_if(said).over(upto)).withColumn("depth", depth)
-    # only openings and closings have a level; all other tokens go to one of their own
-    leveled = leveled.withColumn("lvl", F.when(F.col("kind") == "open", F.col("depth")).when(F.col("kind") == "close", F.col("depth") + 1))
-    following = Window.partitionBy(*rows, "tag", "lvl").orderBy("i")
-    closed = F.lead("kind").over(following) == "close"
-    ends = leveled.withColumn("close_i", F.when(closed, F.lead("i").over(following))).withColumn("t1", F.when(closed, F.lead("t").over(following)))
-    scope = F.struct(F.col("i").alias("open_i"), "close_i", "tag", "cls", F.col("t").alias("t0"), "t1")
-    found = ends.groupBy(*rows).agg(
-        F.array_sort(F.collect_list(F.when(said, F.struct("i", "s")))).alias("texts"), F.array_sort(F.collect_list(F.when((F.col("kind") == "open") & wanted, scope))).alias("scopes")
+    rows = pages.select(*keys, *carry, F.transform(token_array(F.col(html)), lambda raw: F.struct(raw.alias("raw"), _tag(raw).alias("tag"))).alias("_raw"))
+    one = lambda x, i: F.struct(
+        i.alias("i"), _kind(x["raw"], x["tag"]).alias("kind"), x["tag"].alias("tag"), _classes(x["raw"]).alias("cls"), F.when(~_markup(x["raw"]), S.strip(S.decode_entities(x["raw"]))).alias("s")
+    )
+    rows = rows.withColumn("_tokens", F.transform("_raw", one)).drop("_raw")
+    start = F.struct(F.lit(0).alias("t"), F.array().cast("array<struct<tag:string,i:int,cls:array<string>,t:int>>").alias("stack"), F.array().cast(f"array<{SCOPE}>").alias("done"))
+    rows = rows.withColumn("_end", F.aggregate("_tokens", start, _step(wanted)))
+    null = F.lit(None).cast("int")
+    unclosed = F.transform(
+        F.filter("_end.stack", lambda x: x["cls"].isNotNull()), lambda x: F.struct(x["i"].alias("open_i"), null.alias("close_i"), x["tag"].alias("tag"), x["cls"].alias("cls"), x["t"].alias("t0"), null.alias("t1"))
     )
-    return found.withColumn("texts", F.transform("texts", lambda x: x["s"]))
+    texts = F.transform(F.filter("_tokens", lambda x: x["s"] != ""), lambda x: x["s"])
+    found = F.struct(texts.alias("texts"), F.sort_array(F.concat("_end.done", unclosed)).alias("scopes"))
+    # as the one row of a generator, so that no later filter repeats the fold
+    return rows.select(*keys, *carry, F.inline(F.array(found)))
+
+
+def any_class(*names: str) -> Wanted:
+    """Elements that bear one of the classes."""
+    return lambda tag, cls: F.arrays_overlap(cls, F.array(*map(F.lit, names)))
+
+
+def any_tag(*names: str) -> Wanted:
+    return lambda tag, cls: tag.isin(*names)
 
 
 def with_class(name: str) -> Column:

@@ -22,20 +22,20 @@ def image_below(rows: DataFrame, images: DataFrame, assets: DataFrame, left: flo
 
     If its name is not among the page's assets, the image is null, whatever lies further down.
     """
-    below = content_images(images, left).select(*_PAGE, "top", "ord", "name")
-    named = L.first_after(rows, below, _PAGE, F.col("top") > F.col("from_y"), ["top", "ord"], ["name"])
+    below = content_images(images, left).select(*_PAGE, F.col("top").alias("from_y"), "ord", "name")
+    named = L.nearest_after(rows, below, _PAGE, "from_y", ["ord"], ["name"])
     paths = L.content_paths(assets, "content", F.col("ext")).select(*_PAGE, "name", "ord", "path")
     return L.lookup_last(named, paths, [*_PAGE, "name"], "ord", ["path"]).withColumnRenamed("path", "image").drop("name")
 
 
-def questions(words: DataFrame, tables: DataFrame, table_rows: DataFrame, images: DataFrame, assets: DataFrame) -> DataFrame:
+def questions(words: DataFrame, tables: DataFrame, table_rows: DataFrame, images: DataFrame, assets: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc, seq, question_id, topic, sub_questions): every question of every document, in order.
 
     On each page, tables come first, from the top, each with the nearest header strictly
     above it; then headers that no table has claimed, from the top. A new question starts
     where the header differs from the current one. A table without a header belongs to
     the current question. The first image found for a question holds from there on.
-    Documents are independent; a document is one ordered state machine over its pages.
+    Documents are independent; a document is one ordered state machine over its pages, scanned in so many ``ranges`` if one may be very large.
     """
     heads = L.headers(L.assemble(words, _PAGE, "top", "text", ["x0", "ord"]), _PAGE)
     placed = tables.select(*_PAGE, F.col("ord").alias("table_ord"), F.col("top").alias("y"))
@@ -44,7 +44,7 @@ def questions(words: DataFrame, tables: DataFrame, table_rows: DataFrame, images
     lone = L.unclaimed(heads, matched.where("qid is not null").select(*_PAGE, "qid").distinct(), [*_PAGE, "qid"])
     events = matched.withColumn("phase", F.lit(0)).unionByName(lone.withColumn("phase", F.lit(1)), allowMissingColumns=True)
     order = ["page", "phase", "y", "table_ord"]
-    seqs = L.segment(events, ["doc"], order, F.col("qid")).where("seq > 0")
+    seqs = L.segment(events, ["doc"], order, F.col("qid"), ranges=ranges).where("seq > 0")
     numbered = Window.partitionBy("doc", "seq").orderBy(*order)
     seqs = seqs.withColumn("nth", F.row_number().over(numbered))
     # a table that starts a question looks below its header; one without a header looks at its whole page

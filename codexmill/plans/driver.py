@@ -18,6 +18,9 @@ ORACLES: dict[str, str] = {}
 HREF = 'href="([^"]+)"'
 URL_KEYS = ["page", "ref", "utm_source"]
 QUANTITY = 45.0
+#: Ordered ranges in the queries on a table of which one key holds a third.
+RANGES = 32
+_HOT = "CASE WHEN event_id % 10 < 3 THEN 0 ELSE user_id END"
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -105,7 +108,7 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""SELECT page_id, {_text("h", "")} AS title FROM (SELECT page_id, regexp_extract({_CLEAN}, '(?is)<h1\b[^>]*>(.*?)(?:</h1>|$)', 1) AS h FROM pages WHERE regexp_matches({_CLEAN}, '(?i)<h1\b'))""")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = markup.outline(_pages(spark, sf_dir), ["page_id"], F.col("tag") == "h1").where(F.size("scopes") > 0)
+    found = markup.outline(_pages(spark, sf_dir), ["page_id"], markup.any_tag("h1")).where(F.size("scopes") > 0)
     return found.select("page_id", markup.text_of(F.get("scopes", F.lit(0)), "").alias("title"))
 
 
@@ -113,7 +116,7 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS n, {_text("h", " ")} AS text
     FROM (SELECT page_id, unnest(l) AS h, unnest(range(len(l))) AS k FROM (SELECT page_id, regexp_extract_all({_CLEAN}, '(?is)<div class="ad">(.*?)</div>', 1) AS l FROM pages))""")
 def page_ad_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = markup.outline(_pages(spark, sf_dir), ["page_id"], F.array_contains("cls", "ad"))
+    found = markup.outline(_pages(spark, sf_dir), ["page_id"], markup.any_class("ad"))
     texts = F.transform("scopes", lambda x: markup.text_of(x, " "))
     return found.select("page_id", F.posexplode(texts).alias("n", "text")).select("page_id", (F.col("n") + 1).cast("long").alias("n"), "text")
 
@@ -124,7 +127,7 @@ def page_ad_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT page_id, regexp_extract_all(regexp_extract({_CLEAN}, '(?is)<nav>(.*?)</nav>', 1), '(?is)<li>(.*?)</li>', 1) AS l FROM pages))
     GROUP BY page_id""")
 def page_nav_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = markup.outline(_pages(spark, sf_dir), ["page_id"], F.col("tag").isin("nav", "li"))
+    found = markup.outline(_pages(spark, sf_dir), ["page_id"], markup.any_tag("nav", "li"))
     nav = F.get(markup.with_tag("nav"), F.lit(0))
     items = F.transform(markup.within(markup.with_tag("li"), nav), lambda x: markup.text_of(x, ""))
     out = found.select("page_id", F.size(items).cast("long").alias("n_items"), F.array_join(items, " | ").alias("items"))
@@ -165,6 +168,14 @@ def numeric_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.numeric_place(rows, ["o_orderkey"], ["o_custkey"])
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)")
+def numeric_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place among all rows, in ordered ranges."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = given(spark, sf_dir, "lineitem").select(*keys).distinct()
+    return links.numeric_place(rows.select(*[F.col(k).cast("string") for k in keys]), keys, [], ranges=RANGES).select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), F.col("l_partkey").cast("long"), "place")
+
+
 @query("SELECT user_id, round_even(value, 0) AS y, string_agg(event_type, ' ' ORDER BY event_id) AS line FROM events GROUP BY user_id, round_even(value, 0)")
 def line_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.assemble(given(spark, sf_dir, "events"), ["user_id"], "value", "event_type", ["event_id"])
@@ -193,6 +204,20 @@ def unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.unclaimed(marks.select("user_id", "header_id"), found.where("header_id is not null"), ["user_id", "header_id"])
 
 
+def _hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which three in ten belong to one user."""
+    return given(spark, sf_dir, "events").withColumn("user_id", F.expr(_HOT))
+
+
+@query(_NEAREST_SQL.replace("FROM events", f"FROM (SELECT event_id, ts, event_type, {_HOT} AS user_id FROM events)"))
+def nearest_header_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest header where one key holds a third of all rows, in ordered ranges."""
+    events = _hot_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type")
+    marks = events.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("header_id"))
+    rows = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    return layout.nearest_before(rows, marks, ["user_id"], "ts", ["header_id"], ranges=RANGES).select("event_id", "user_id", "header_id")
+
+
 _SEGMENT_SQL = """
     SELECT *, sum(CASE WHEN header IS NOT NULL AND header IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq
     FROM (SELECT *, lag(header) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
@@ -210,6 +235,14 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir).select("event_id", "user_id", "seq", "header")
 
 
+@query(f"SELECT event_id, user_id, seq, header FROM ({_SEGMENT_SQL.replace('FROM events', f'FROM (SELECT event_id, ts, event_type, {_HOT} AS user_id FROM events)')})")
+def segments_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments where one key holds a third of all rows, in ordered ranges."""
+    header = F.when(F.col("event_type").isin("signup", "error"), F.col("event_type"))
+    rows = layout.segment(_hot_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], header, ranges=RANGES)
+    return rows.select("event_id", "user_id", F.col("seq").cast("long").alias("seq"), F.col("seq_header").alias("header"))
+
+
 @query(f"""SELECT event_id, seq, first_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, seq ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS first_click
     FROM ({_SEGMENT_SQL})""")
 def segment_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,8 +294,8 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY o_orderkey, o_orderdate""")
 def range_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = given(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    lines = given(spark, sf_dir, "lineitem").where(F.col("l_quantity") > QUANTITY).select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_linenumber")
-    return layout.first_after(orders, lines, ["o_orderkey"], F.col("l_shipdate") > F.col("o_orderdate"), ["l_shipdate", "l_linenumber"], ["l_linenumber"]).withColumnRenamed("l_linenumber", "line")
+    lines = given(spark, sf_dir, "lineitem").where(F.col("l_quantity") > QUANTITY).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("o_orderdate"), F.col("l_linenumber").alias("line"))
+    return layout.nearest_after(orders, lines, ["o_orderkey"], "o_orderdate", [], ["line"])
 
 
 @query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON l_partkey = p_partkey")

@@ -75,7 +75,7 @@ def rejected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_LAW_SQL}, printf('art_%04d_%s.html', o_orderkey, '1') AS filename, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY o_orderkey, o_custkey")
 def rejected_commas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = articles.rejected_commas(articles.split_valid(law_pages(spark, sf_dir))[0], KEYS)
+    found = articles.rejected_commas(articles.parse(articles.split_valid(law_pages(spark, sf_dir))[0], KEYS), KEYS)
     return found.groupBy(*KEYS).agg(F.countDistinct("open_i").alias("n"))
 
 
@@ -103,21 +103,48 @@ def page_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_pages(spark, folder).drop("url")
 
 
+_HTML_SQL = "CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 3 = 0 THEN 'è漢' || chr(13) || chr(10) || html || chr(13) || chr(10) ELSE html END"
+
+
+@query(f"""
+    SELECT law, printf('art_%04d_1.html', page_id) AS filename, length(h) AS n_chars, md5(h) AS md5
+    FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'cds' ELSE 'cap' END AS law, {_HTML_SQL} AS h FROM pages)""")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files named by article, written by the executors and scanned; some are empty, some not ASCII with CRLF."""
+    folder, key, html = new_path(spark, "page-files"), F.col("page_id"), F.col("html")
+    text = F.when(key % 7 == 0, "").when(key % 3 == 0, F.concat(F.lit("è漢\r\n"), html, F.lit("\r\n"))).otherwise(html)
+    law = F.when(key % 2 == 0, "cds").otherwise("cap").alias("law")
+    sinks.write_page_files(given(spark, sf_dir, "pages").select(law, S.file_name(key.cast("string"), F.lit("1")).alias("filename"), text.alias("html")), folder)
+    return tables.raw_pages(spark, folder).select("law", "filename", F.length("html").cast("long").alias("n_chars"), F.md5("html").alias("md5"))
+
+
+@query(f"SELECT {_LAW_SQL}, printf('art_%04d_%s.html', o_orderkey, '1') AS filename, (o_orderkey % 8) || ' ' || o_orderkey AS html FROM orders")
+def page_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are written again and again, each time without an eighth of them, as they are read back."""
+    folder, key = new_path(spark, "rewritten-pages"), F.col("o_orderkey")
+    orders = given(spark, sf_dir, "orders")
+    for k in range(8):
+        rows = orders.where(F.pmod(key, F.lit(8)) >= k)
+        sinks.write_pages(rows.select(_law(), S.file_name(key.cast("string"), F.lit("1")).alias("filename"), F.lit("u").alias("url"), _text(F.lit(k), " ", key).alias("html")), folder, buckets=8)
+    return sinks.read_pages(spark, folder).drop("url")
+
+
 @query(_DIGEST_SQL)
 def incremental_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that land in two lots, with an overlap, through the stream."""
+    """Pages that land in two lots, with an overlap, through the stream; then all once more, for a stream whose checkpoint is lost."""
     folder, out, log = (new_path(spark, name) for name in ("landing", "stream-out", "stream-log"))
     pages = law_pages(spark, sf_dir).withColumn("lot", F.pmod(F.xxhash64(*KEYS), F.lit(3)))
     for lots in ((0, 1), (1, 2)):
         pages.where(F.col("lot").isin(*lots)).drop("lot").write.mode("append").parquet(folder)
         incremental.extract_articles(incremental.page_tables(spark, folder), out, log).awaitTermination()
+    incremental.extract_articles(incremental.page_tables(spark, folder), out, new_path(spark, "stream-log")).awaitTermination()
     return _digest(incremental.records(spark, out))
 
 
 _ID = "CASE WHEN o_orderkey % 97 = 0 THEN 'x' ELSE CAST(o_orderkey % 7 + 1 AS VARCHAR) END"
 
 
-@query(f"""
+_LINKS_SQL = f"""
     WITH l AS (
         SELECT {_LAW_SQL}, CAST(o_custkey AS VARCHAR) AS src, o_orderkey, {_ID} AS "idArticolo", CAST(o_orderkey % 3 + 1 AS VARCHAR) AS "idSottoArticolo", CAST(o_orderkey AS VARCHAR) AS versione,
             CASE WHEN o_orderkey % 2 = 0 THEN '0' ELSE CAST(o_orderkey AS VARCHAR) END AS progressivo FROM orders WHERE o_orderstatus <> 'P'),
@@ -129,22 +156,49 @@ _ID = "CASE WHEN o_orderkey % 97 = 0 THEN 'x' ELSE CAST(o_orderkey % 7 + 1 AS VA
         CASE WHEN "idArticolo" <> 'x' THEN 'https://www.normattiva.it/atto/caricaArticolo?art.versione=' || versione || '&art.idGruppo=4&art.flagTipoArticolo=0&art.codiceRedazionale=092G0306&art.idArticolo=' || "idArticolo"
             || '&art.idSottoArticolo=' || sub || '&art.idSottoArticolo1=10&art.dataPubblicazioneGazzetta=1992-05-18+00%3A00&art.progressivo=' || progressivo END AS url,
         CASE WHEN "idArticolo" <> 'x' THEN output_name END AS output_name
-    FROM f JOIN s ON sub = "idSottoArticolo" JOIN o USING (law)""")
-def article_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of contents for every customer, with a link for each order; links without a numeric id are set apart."""
+    FROM f JOIN s ON sub = "idSottoArticolo" JOIN o USING (law)"""
+
+
+def law_contents(orders: DataFrame) -> DataFrame:
+    """(law, src, html): a table of contents for every customer, with a link for each order."""
     key = F.col("o_orderkey")
     one = _text(
         "<a onclick=\"return caricaArticolo?art.versione=", key, "&art.idGruppo=4&art.flagTipoArticolo=", F.when(F.col("o_orderstatus") == "P", "1").otherwise("0"), "&codiceRedazionale=092G0306&art.idArticolo=",
         F.when(key % 97 == 0, "x").otherwise((key % 7 + 1).cast("string")), "&art.idSottoArticolo=", key % 3 + 1, "&art.idSottoArticolo=9&art.idSottoArticolo1=10&art.dataPubblicazioneGazzetta=1992-05-18%2000%3A00",
         F.when(key % 2 == 0, "&art.progressivo=&").otherwise(_text("&art.progressivo=", key)), "\">x</a>",
     )
-    toc = given(spark, sf_dir, "orders").groupBy(_law(), F.col("o_custkey").cast("string").alias("src")).agg(F.array_sort(F.collect_list(F.struct(key, one.alias("a")))).alias("all"))
-    found = links.article_links(toc.select("law", "src", F.array_join(F.transform("all", lambda x: x["a"]), "\n").alias("html")), ["law", "src"])
+    toc = orders.groupBy(_law(), F.col("o_custkey").cast("string").alias("src")).agg(F.array_sort(F.collect_list(F.struct(key, one.alias("a")))).alias("all"))
+    return toc.select("law", "src", F.array_join(F.transform("all", lambda x: x["a"]), "\n").alias("html"))
+
+
+def _named_links(found: DataFrame) -> DataFrame:
     good, bad = links.split_numeric(found)
-    named = links.with_names(good, tables.laws(spark)).withColumn("numeric", F.lit(True)).unionByName(bad.withColumn("numeric", F.lit(False)), allowMissingColumns=True)
+    named = links.with_names(good, tables.laws(found.sparkSession)).withColumn("numeric", F.lit(True)).unionByName(bad.withColumn("numeric", F.lit(False)), allowMissingColumns=True)
     return named.select("law", "src", "idArticolo", "idSottoArticolo", "versione", "progressivo", "numeric", "label", "filename", "url", "output_name")
 
 
+@query(_LINKS_SQL)
+def article_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all tables of contents; those without a numeric id are set apart."""
+    return _named_links(links.article_links(law_contents(given(spark, sf_dir, "orders")), ["law", "src"]))
+
+
+@query(f"SELECT *, CAST(src AS BIGINT) % 2 = 1 AS pending FROM ({_LINKS_SQL})")
+def link_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of tables of contents that land in two lots, the second holding the first's links again, through streams with a checkpoint each; pages of even customers are at hand."""
+    folder, out = new_path(spark, "contents"), new_path(spark, "links-out")
+    orders = given(spark, sf_dir, "orders")
+    middle = orders.agg(F.avg("o_orderkey")).first()[0]
+    for lot in (orders.where(F.col("o_orderkey") <= middle), orders):
+        law_contents(lot).write.mode("append").parquet(folder)
+        contents = incremental.table_stream(spark, folder, "law string, src string, html string")
+        incremental.collect_links(contents, ["law", "src"], out, new_path(spark, "links-log")).awaitTermination()
+    found = incremental.records(spark, out)
+    key = ["law", "src", "idArticolo", "idSottoArticolo"]
+    waiting = incremental.pending_links(spark, out, found.where(F.col("src").cast("long") % 2 == 0), key).select(*key, F.lit(True).alias("pending"))
+    return _named_links(found).join(waiting, key, "left").withColumn("pending", F.coalesce("pending", F.lit(False)))
+
+
 #: Questions of layout tables in SQL; ``words``, ``tables``, ``table_rows``, ``images`` and ``assets`` come before it.
 QUESTIONS_SQL = r"""
     lines AS (SELECT doc, page, round_even(top, 0) AS y, string_agg(text, ' ' ORDER BY x0, ord) AS line FROM words GROUP BY ALL),

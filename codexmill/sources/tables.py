@@ -37,8 +37,17 @@ def named(files: DataFrame) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages stored as <folder>/<law>/art_<number>_<sub>.html."""
-    return named(spark.read.text(f"{folder}/*/art_*.html", wholetext=True))
+    """Pages stored as <folder>/<law>/art_<number>_<sub>.html; an empty file is an empty page."""
+    pattern = f"{folder}/*/art_*.html"
+    # Spark's sources pass over files without a byte
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    empty = [(p.getParent().getName(), p.getName(), p.toUri().toString(), "") for f in files if f.getLen() == 0 for p in [f.getPath()]]
+    pages = named(spark.read.text(pattern, wholetext=True)) if len(empty) < len(files) else None
+    if pages is None or empty:
+        nothing = spark.createDataFrame(empty, "law string, filename string, url string, html string")
+        pages = nothing if pages is None else pages.unionByName(nothing)
+    return pages
 
 
 def layout(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -1,20 +1,28 @@
-"""Article extraction from a folder in which pages land."""
+"""Streams that add to a table only rows whose key it doesn't hold yet: article records, and links by first occurrence.
+
+The table has a log of its own (``sources.manifest``). It, and not the checkpoint of a stream, says what is there: a fresh or lost
+checkpoint, a batch that is repeated, one that broke off half-written, and a second stream into the same table all leave
+each key once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators import articles
-from ..sources import tables
+from ..operators import articles, links
+from ..sources import manifest, tables
 
 KEYS = ["law", "filename"]
+#: Keys are split by their hash: a batch reads only the shards that its own keys fall into.
 SHARDS = 64
-
-
-def _shard() -> Column:
-    return F.pmod(F.xxhash64(*KEYS), F.lit(SHARDS)).cast("int")
+#: So many parts of one level are merged into one of the next, so n batches leave some MERGE * log(n) parts of keys.
+MERGE = 8
+#: Times that a batch starts over if other writers commit first.
+ATTEMPTS = 20
 
 
 def page_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -25,42 +33,103 @@ def page_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) ->
 
 def page_tables(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """A stream of pages that land as Parquet files of (law, filename, url, html)."""
-    return spark.readStream.schema("law string, filename string, url string, html string").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return table_stream(spark, folder, "law string, filename string, url string, html string", files_per_batch)
+
+
+def table_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of rows that land as Parquet files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def _shard(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int")
+
+
+def _keys(spark: SparkSession, out: str, parts: list[str], schema: str) -> DataFrame:
+    found = spark.read.schema(f"{schema}, part string, _shard int").option("basePath", f"{out}/keys").parquet(*[f"{out}/keys/part={p}" for p in parts])
+    return found.drop("part")
+
+
+def append_new(rows: DataFrame, keys: list[str], out: str, make: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Append ``make`` of those rows whose keys the table at ``out`` doesn't hold; ``rows`` has each key once, and ``make`` keeps keys.
+
+    Null keys count as equal. Records are written first, then their keys, then the commit that names both.
+    """
+    spark = rows.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    for _ in range(ATTEMPTS):
+        number, state = manifest.last(spark, out)
+        records, levels = state.get("records", []), state.get("keys", [])
+        fresh = rows.withColumn("_shard", _shard(keys))
+        if levels:
+            touched = [r[0] for r in fresh.select("_shard").distinct().collect()]  # SHARDS at most
+            old = _keys(spark, out, [p for level in levels for p in level], schema).where(F.col("_shard").isin(touched)).toDF(*[f"_old{i}" for i in range(len(keys))], "_old")
+            same = F.col("_shard") == F.col("_old")
+            for i, k in enumerate(keys):
+                same &= F.col(k).eqNullSafe(F.col(f"_old{i}"))
+            fresh = fresh.join(old, same, "left_anti")
+        part = manifest.new_part("batch")
+        made = make(fresh.drop("_shard"))
+        made.write.parquet(f"{out}/records/part={part}")
+        added = spark.read.schema(made.schema).parquet(f"{out}/records/part={part}").select(*keys)
+        if records and added.isEmpty():
+            return
+        added.withColumn("_shard", _shard(keys)).repartition("_shard").write.partitionBy("_shard").parquet(f"{out}/keys/part={part}")
+        state = {"records": [*records, part], "keys": _merged(spark, out, levels, part, schema)}
+        if manifest.commit(spark, out, number + 1, state):
+            return
+    raise RuntimeError(f"{out}: others committed first {ATTEMPTS} times")
+
+
+def _merged(spark: SparkSession, out: str, levels: list[list[str]], part: str, schema: str) -> list[list[str]]:
+    """Parts of keys by level with a new one; a level that is full becomes one part of the next."""
+    levels = [[*levels[0], part], *levels[1:]] if levels else [[part]]
+    k = 0
+    while len(levels[k]) >= MERGE:
+        merged = manifest.new_part("merged")
+        _keys(spark, out, levels[k], schema).repartition("_shard").write.partitionBy("_shard").parquet(f"{out}/keys/part={merged}")
+        if k + 1 == len(levels):
+            levels.append([])
+        levels[k], levels[k + 1] = [], [*levels[k + 1], merged]
+        k += 1
+    return levels
+
+
+def records(spark: SparkSession, out: str) -> DataFrame:
+    """The table as its last commit has it."""
+    _, state = manifest.last(spark, out)
+    if not state:
+        raise ValueError(f"{out} holds no commit")
+    return spark.read.option("basePath", f"{out}/records").parquet(*[f"{out}/records/part={p}" for p in state["records"]]).drop("part")
+
+
+def _stream(source: DataFrame, one: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    return source.writeStream.foreachBatch(lambda batch, number: one(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def extract_articles(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Parse new pages batch by batch and append the records that ``out`` doesn't hold yet.
+    """Parse new pages batch by batch and append the records that ``out`` doesn't hold yet, keyed by law and filename.
 
-    The extraction needs windows over row order, which streams refuse, so each batch is parsed as a table. A page
-    that is delivered again, under its own name or in a batch that is repeated after a failure, adds nothing: records
-    are keyed by law and filename. Each batch has a folder of its own, which a repetition overwrites. The keys at
-    hand lie in a table of their own, split into SHARDS by their hash: a batch reads two columns, and of
-    those only the shards that its own keys fall into.
+    A page that is delivered again, whatever its text, adds nothing. Of several in one batch, that with the least url and text stays.
     """
 
-    def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        valid, _ = articles.split_valid(batch.dropDuplicates(KEYS))
-        valid = valid.withColumn("shard", _shard())
-        old = _keys(spark, out, number)
-        if old is not None:
-            touched = [r.shard for r in valid.select("shard").distinct().collect()]  # SHARDS at most
-            valid = valid.join(old.where(F.col("shard").isin(touched)), [*KEYS, "shard"], "left_anti")
-        records = articles.parse(valid.drop("shard"), KEYS)
-        records.write.mode("overwrite").parquet(f"{out}/records/batch={number}")
-        done = spark.read.parquet(f"{out}/records/batch={number}").select(*KEYS, _shard().alias("shard"))
-        done.write.mode("overwrite").partitionBy("shard").parquet(f"{out}/keys/batch={number}")
+    def one(batch: DataFrame) -> None:
+        valid, _ = articles.split_valid(batch)
+        first = valid.groupBy(*KEYS).agg(F.min(F.struct("url", "html")).alias("page")).select(*KEYS, "page.*")
+        append_new(first, KEYS, out, lambda fresh: articles.parse(fresh, KEYS))
 
-    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _stream(pages, one, checkpoint)
 
 
-def records(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/records").drop("batch")
+def collect_links(tocs: DataFrame, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Article links of table-of-contents pages as they land: the first of each (keys, article, sub-article) over all batches stays.
+
+    Within a batch the first is that of the smallest place, as ``links.article_links`` has it.
+    """
+    link_keys = [*keys, "idArticolo", "idSottoArticolo"]
+    return _stream(tocs, lambda batch: append_new(links.article_links(batch, keys), link_keys, out), checkpoint)
 
 
-def _keys(spark: SparkSession, out: str, below: int) -> DataFrame | None:
-    """Keys of the batches before the given one, or None if there is none."""
-    if not below:
-        return None
-    keys = spark.read.schema("law string, filename string, shard int, batch bigint").parquet(f"{out}/keys")
-    return keys.where(F.col("batch") < below).select(*KEYS, "shard")
+def pending_links(spark: SparkSession, out: str, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Links that the stream has seen and whose pages aren't at hand."""
+    return records(spark, out).join(done.select(*keys), keys, "left_anti")

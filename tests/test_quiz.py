@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from codexmill.operators import crawl, layout, quiz
+from codexmill.operators import crawl, layout, links, quiz
 from codexmill.plans import products
 from codexmill.sources import sinks, tables
 
@@ -106,6 +106,31 @@ def test_nearest_is_strict(spark):
     assert got == {"a": "m4", "b": None, "c": None}
 
 
+def test_ranges_equal_one_window(spark):
+    """Scans in ordered ranges give what a window over the key gives, with a key that holds most rows, ties, nulls and ranges without a header."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice([1, 1, 1, 1, 2, 3, None]), rnd.choice([float(rnd.randrange(400)), None]), k, rnd.choice([None] * 9 + ["a", "b"])) for k in range(1500)]
+    df = spark.createDataFrame(rows, "k int, y double, n int, h string")
+    marks = df.where("h is not null").select("k", "y", F.col("n").alias("m"))
+    key = lambda found: sorted(map(str, found.collect()))
+    for ranges in (1, 7, 40):
+        assert key(layout.segment(df, ["k"], ["y", "n"], F.col("h"), ranges=ranges).select("n", "seq", "seq_header")) == key(layout.segment(df, ["k"], ["y", "n"], F.col("h")).select("n", "seq", "seq_header"))
+        assert key(layout.nearest_before(df, marks, ["k"], "y", ["m"], ranges=ranges)) == key(layout.nearest_before(df, marks, ["k"], "y", ["m"]))
+        assert key(layout.nearest_after(df, marks, ["k"], "y", [], ["m"], ranges=ranges)) == key(layout.nearest_after(df, marks, ["k"], "y", [], ["m"]))
+        text = df.select(F.col("n").cast("string").alias("n"), "k")
+        assert key(links.numeric_place(text, ["n"], ["k"], ranges=ranges)) == key(links.numeric_place(text, ["n"], ["k"]))
+        assert sorted(r.place for r in links.numeric_place(text, ["n"], [], ranges=ranges).collect()) == list(range(1, 1501))
+    sizes = layout.in_ranges(df.where("y is not null"), ["k"], ["y", "n"], 8).groupBy("_range").count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) <= 2 * sorted(r["count"] for r in sizes)[4]
+
+
+def test_nearest_after_is_strict_and_takes_the_least(spark):
+    rows = spark.createDataFrame([(1, 5.0, "a"), (1, 4.0, "b"), (2, 9.0, "c"), (1, None, "d"), (None, 1.0, "e")], "k int, y double, r string")
+    marks = spark.createDataFrame([(1, 5.0, 2, "p"), (1, 5.0, 1, "q"), (1, 7.0, 3, "z"), (2, 9.0, 4, "s"), (2, None, 5, "t")], "k int, y double, ord int, m string")
+    got = {r.r: r.m for r in layout.nearest_after(rows, marks, ["k"], "y", ["ord"], ["m"]).collect()}
+    assert got == {"a": "z", "b": "q", "c": None, "d": None, "e": None}
+
+
 def test_line_rounding_is_half_even(spark):
     df = spark.createDataFrame([(10.5, "a"), (11.5, "b"), (12.4, "c")], "top double, t string").withColumn("ord", F.monotonically_increasing_id())
     assert {r.y: r.line for r in layout.assemble(df, [], "top", "t", ["ord"]).collect()} == {10.0: "a", 12.0: "b c"}
