@@ -34,16 +34,18 @@ PATTERNS = {
     "ipv4": rf"(?<![\p{{L}}\p{{N}}_.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}_])(?!\.\d)",
     "ssn": rf"(?<![\p{{L}}\p{{N}}_-])\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}_-])",
     "date": rf"{_NOT_BEFORE}(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}}|\d{{2}}\.\d{{2}}\.\d{{4}}){_NOT_AFTER}",
-    "phone": rf"\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{4}}{_NOT_AFTER}|\+\d{{8,15}}{_NOT_AFTER}|(?<![\p{{L}}\p{{N}}_.+-])(?:\([2-9]\d\d\) ?|[2-9]\d\d-)[2-9]\d\d-\d{{4}}(?![\p{{L}}\p{{N}}_-])",
+    "phone": rf"\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{4}}{_NOT_AFTER}|\+\d{{8,15}}{_NOT_AFTER}|(?<![\p{{L}}\p{{N}}_.+-])(?:1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[.-])[2-9]\d\d[.-]\d{{4}}(?![\p{{L}}\p{{N}}_-])",
     "card": rf"{_NOT_BEFORE}(?:\d{{13,19}}|\d{{4}}(?: \d{{4}}){{3}}|\d{{4}}(?:-\d{{4}}){{3}}|\d{{4}} \d{{6}} \d{{5}}|\d{{4}}-\d{{6}}-\d{{5}}){_NOT_AFTER}",
 }
 PATTERN = "|".join(PATTERNS[k] for k in KINDS)
 
 # Country calling codes of one and two digits; all others have three.
 CALLING_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+# Fixed value: the numbers of North America.
+NORTH_AMERICAN = "^[2-9][0-9]{2}[2-9][0-9]{6}$"
 #: Fixed beginnings of keys, which stay as they are.
 KEY_START = "^(?:A[KS]IA|sk-|ghp_)"
-#: Letters beyond ASCII move within their aligned block of so many code points.
+#: Letters beyond ASCII move among those of their sort in an aligned block of so many code points.
 LETTER_BLOCK = 32
 
 #: Dates are numbered from the first day; the count of days is the product of the two residues.
@@ -68,8 +70,21 @@ def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
+def _sort_of(c: Column) -> Column:
+    """Capital, small or other letter, or number; null for all else."""
+    return F.when(c.rlike(r"^\p{Lu}$"), "u").when(c.rlike(r"^\p{Ll}$"), "l").when(c.rlike(r"^\p{L}$"), "o").when(c.rlike(r"^\p{N}$"), "n")
+
+
+def _turned(c: Column, code: Column, by: Column) -> Column:
+    """A character beyond ASCII moved among those of its block and sort; one of no sort stays."""
+    first = code - code % LETTER_BLOCK
+    block = F.transform(F.sequence(first, first + LETTER_BLOCK - 1), _char)
+    alphabet = F.filter(block, lambda x: _sort_of(x) == _sort_of(c))
+    return F.coalesce(_with(alphabet, lambda a: F.get(a, F.pmod((F.array_position(a, c) - 1 + by).cast("int"), F.nullif(F.size(a), F.lit(0))))), c)
+
+
 def _shift(c: Column, by: Column, hexadecimal: bool) -> Column:
-    """One character moved within its alphabet: digits, a-z, A-Z, and blocks of letters beyond ASCII; marks stay."""
+    """One character moved within its alphabet: digits, a-z, A-Z, and letters or numbers of one sort in a block beyond ASCII; marks stay."""
     code = F.ascii(c)
 
     def turn(first: str, size: int) -> Column:
@@ -83,7 +98,7 @@ def _shift(c: Column, by: Column, hexadecimal: bool) -> Column:
         return F.when(upper, digit("0123456789ABCDEF")).otherwise(digit("0123456789abcdef"))
     return (
         F.when(c.rlike("^[0-9]$"), turn("0", 10)).when(c.rlike("^[a-z]$"), turn("a", 26))
-        .when(c.rlike("^[A-Z]$"), turn("A", 26)).when(code >= 128, _char(code - code % LETTER_BLOCK + (code + by) % LETTER_BLOCK)).otherwise(c)
+        .when(c.rlike("^[A-Z]$"), turn("A", 26)).when(code >= 128, _turned(c, code, by)).otherwise(c)
     )
 
 
@@ -224,12 +239,19 @@ def _date(m: Column, key: str) -> Column:
     return _with(moved, shown)
 
 
+def _north_american(national: Column, key: str) -> Column:
+    """Ten digits of which the area and the exchange begin with 2 to 9; so do those of the pseudonym."""
+    area, rest = F.substring(national, 1, 3).cast("long") - 200, F.substring(national, 4, 7).cast("long") - 2_000_000
+    return _with(permuted_pair(area, rest, 800, 8_000_000, key, "phone"), lambda p: F.concat((p["a"] + 200).cast("string"), (p["b"] + 2_000_000).cast("string")))
+
+
 def _phone(m: Column, key: str) -> Column:
     """All digits after the country code are permuted, so that notations of one number stay linked; without a code it is that of North America."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    code = F.when(m.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 0)).otherwise("")
-    moved = permuted(F.substring(digits, F.length(code) + 1, F.length(digits)), key, "phone")
-    return _refill(m, F.concat(code, moved))
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 0)).when(F.length(digits) == 11, "1").otherwise("")
+    national = F.substring(digits, F.length(code) + 1, F.length(digits))
+    american = code.isin("", "1") & national.rlike(NORTH_AMERICAN)
+    return _refill(m, F.concat(code, F.when(american, _north_american(national, key)).otherwise(permuted(national, key, "phone"))))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -256,23 +278,23 @@ def _pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col`` and a new column ``pii``.
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", hits_col: str = "pii") -> DataFrame:
+    """``docs`` with pseudonyms in ``text_col`` and a new column ``pii`` (or ``hits_col``).
 
     ``pii`` is an array of (kind, value, pseudonym), in order of appearance, null for
     a null text. A null text stays null, an empty one empty. Candidates that fail
     their validity test (no such day, wrong check digit, octet over 255) stay as they
     are. Rows are handled one by one: no shuffle, order and number of rows stay, and
-    so do all other columns, whatever their names, but for an old ``pii`` column.
+    so do all other columns, whatever their names, but for an old column of that name.
     """
     text = F.col(f"`{text_col}`")
     found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), 0), lambda m: F.struct(_kind(m).alias("kind"), m.alias("value")))
     hits = F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), _pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
     none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
     some = text.rlike("[0-9@]")
-    marked = docs.withColumn("pii", F.when(some, hits).when(text.isNotNull(), none))
-    texts = F.array_append(F.transform(F.col("pii"), lambda x: x["pseudonym"]), F.lit(""))
+    marked = docs.withColumn(hits_col, F.when(some, hits).when(text.isNotNull(), none))
+    texts = F.array_append(F.transform(F.col(f"`{hits_col}`"), lambda x: x["pseudonym"]), F.lit(""))
     gaps = F.split(text, PATTERN, -1)
     joined = F.array_join(F.zip_with(gaps, texts, lambda g, p: F.concat(g, p)), "")
-    out = marked.withColumn(text_col, F.when(F.size("pii") > 0, joined).otherwise(text))
-    return out.withColumn("pii", F.filter(F.col("pii"), lambda x: x["kind"].isNotNull()))
+    out = marked.withColumn(text_col, F.when(F.size(F.col(f"`{hits_col}`")) > 0, joined).otherwise(text))
+    return out.withColumn(hits_col, F.filter(F.col(f"`{hits_col}`"), lambda x: x["kind"].isNotNull()))

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import re
+import unicodedata
 
 import pytest
 
@@ -23,7 +24,16 @@ def shift(c, by, hexadecimal):
     for first, size in (("0", 10), ("a", 26), ("A", 26)):
         if 0 <= ord(c) - ord(first) < size:
             return chr((ord(c) - ord(first) + by) % size + ord(first))
-    return chr(ord(c) // 32 * 32 + (ord(c) + by) % 32) if ord(c) >= 128 else c
+    sort = sort_of(c)
+    if ord(c) < 128 or not sort:
+        return c
+    alphabet = [x for k in range(32) if sort_of(x := chr(ord(c) // 32 * 32 + k)) == sort]
+    return alphabet[(alphabet.index(c) + by) % len(alphabet)]
+
+
+def sort_of(c):
+    kind = unicodedata.category(c)
+    return {"Lu": "u", "Ll": "l"}.get(kind, {"L": "o", "N": "n"}.get(kind[0]))
 
 
 def string(text, key, kind, hexadecimal=False):
@@ -79,7 +89,11 @@ def twin(kind, m, key):
         a, b = pair(*divmod((day - first).days, 271), 270, 271, key, kind)
         return (first + datetime.timedelta(a * 271 + b)).strftime(form)
     if kind == "phone":
-        code = re.match(pii.CALLING_CODE, digits)[0] if m[0] == "+" else ""
+        code = re.match(pii.CALLING_CODE, digits)[0] if m[0] == "+" else "1" if len(digits) == 11 else ""
+        national = digits[len(code) :]
+        if code in ("", "1") and re.match(pii.NORTH_AMERICAN, national):
+            a, b = pair(int(national[:3]) - 200, int(national[3:]) - 2_000_000, 800, 8_000_000, key, kind)
+            return refill(f"{code}{a + 200}{b + 2_000_000}")
         return refill(code + string(digits[len(code) :], key, kind))
     new = string(digits[:-1], key, kind)
     return refill(new + str(-luhn(new + "0") % 10))
@@ -129,6 +143,21 @@ def test_query_equals_plain_python(spark):
     assert found > 20
 
 
+def test_pseudonyms_stay_in_their_format(spark):
+    letters = [chr(c) for c in [*range(0xC0, 0x250), *range(0x370, 0x530)] if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo")]
+    names = [f"{a}{k}{b}.{c}@x.ru" for k, (a, b, c) in enumerate(zip(letters, letters[7:] + letters[:7], letters[31:] + letters[:31]))] + ["ªµº9@x.ru"]
+    phones = ["1-555-234-4567", "555.234.4567", "1 (555) 234-4567", "(555) 234-4567", "+1 555 234 4567", "1.555.234.4567"] + [f"{200 + 13 * k % 800}-{200 + 7 * k % 800}-{1000 + k}" for k in range(300)]
+    rows = [(i, t) for i, t in enumerate([" ".join(names), " ; ".join(phones)])]
+    out = {r.doc_id: r.pii for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect()}
+    assert [x.value for x in out[0]] == names and [x.value for x in out[1]] == phones
+    again = spark.createDataFrame([(i, "\n".join(x.pseudonym for x in out[i])) for i in out], "doc_id int, text string")
+    found = {r.doc_id: [(x.kind, x.value) for x in r.pii] for r in pii.pseudonymize(again, "key").collect()}
+    assert found == {i: [(x.kind, x.pseudonym) for x in out[i]] for i in out}
+    assert all(len({x.pseudonym for x in out[i]}) == len(out[i]) for i in out) and {x.kind for x in out[1]} == {"phone"}
+    assert len({re.sub("[^0-9]", "", x.pseudonym)[-10:] for x in out[1][:6]}) == 1
+    assert [[sort_of(c) for c in x.value] for x in out[0]] == [[sort_of(c) for c in x.pseudonym] for x in out[0]]
+
+
 def test_empty_and_odd_tables(spark):
     df = spark.createDataFrame(H.odd_rows(), H.SCHEMA)
     assert pii.pseudonymize(df.limit(0), "key").count() == 0
