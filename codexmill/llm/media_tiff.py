@@ -12,6 +12,7 @@ ways of storage are in use, compression (a quarter each), layout and predictor f
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -49,9 +50,10 @@ class Page(NamedTuple):
 MOST_EXPANSION = 4096
 
 
-def packbits(data: bytes) -> bytes:
+def packbits(data: bytes, size: float = math.inf) -> bytes:
+    """Runs and literals; stops once there are ``size`` bytes."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < size:
         if (count := data[i]) < 128:
             out += data[i + 1 : i + 2 + count]
             i += 2 + count
@@ -90,11 +92,13 @@ def to_packbits(row: bytes) -> bytes:
 
 
 _SINGLE = [bytes([i]) for i in range(256)]
+#: Codes of 12 bits.
+LZW_CODES = 4096
 
 
-def lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends."""
-    out, table, width, last = [], [*_SINGLE, b"", b""], 9, b""
+def lzw(data: bytes, size: float = math.inf) -> bytes:
+    """Codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends. Stops once there are ``size`` bytes."""
+    out, table, width, last, made = [], [*_SINGLE, b"", b""], 9, b"", 0
     bits, held, mask = 0, 0, 511
     for byte in data:
         held = (held & ((1 << bits) - 1)) << 8 | byte
@@ -115,7 +119,10 @@ def lzw(data: bytes) -> bytes:
         else:
             raise ValueError("bad LZW code")
         out.append(text)
-        if last:
+        made += len(text)
+        if made >= size:
+            break
+        if last and len(table) < LZW_CODES:
             table.append(last + text[:1])
             if len(table) + 1 > mask and width < 12:  # the width grows one code early
                 width += 1
@@ -166,22 +173,22 @@ def to_lzw(data: bytes) -> bytes:
 
 
 def decompress(data: bytes, compression: int, size: int) -> bytes:
-    """At least ``size`` bytes, or ValueError; sizes that the data cannot hold are refused before anything is made."""
+    """``size`` bytes, or ValueError; sizes that the data cannot hold are refused before anything is made, and what goes beyond the size isn't decoded."""
     if size > MOST_EXPANSION * len(data):
         raise ValueError(f"{len(data)} bytes cannot hold {size}")
     if compression == NONE:
         out = data
     elif compression == LZW:
-        out = lzw(data)
+        out = lzw(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
         out = zlib.decompressobj().decompress(data, max(1, size))
     elif compression == PACKBITS:
-        out = packbits(data)
+        out = packbits(data, size)
     else:
         raise ValueError(f"compression {compression} is not known")
     if len(out) < size:
         raise ValueError("a strip or tile is too short")
-    return out
+    return out[:size]
 
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]:
@@ -369,6 +376,7 @@ def explode_pages(files: DataFrame, id_col: str = "doc_id", media_col: str = "me
 def measure(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Read stored files (id, n_bytes, media) back: sizes, digests and a feature of each payload.
 
+    The payload is all samples of all pages, row by row, those of a point side by side; the feature is of the same rows.
     A null file gives nulls; a damaged one has its own size and digest, and as feature "damaged". Repeated rows are
     read one by one.
     """
@@ -383,7 +391,7 @@ def measure(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     rows.append((None,) * 6)
                     continue
                 try:
-                    images = [p.samples[:, :, 0] for p in pages(media)]
+                    images = [p.samples.reshape(len(p.samples), -1) for p in pages(media)]
                 except ValueError:
                     rows.append((None, None, None, len(media), hashlib.sha256(media).hexdigest(), "damaged"))
                     continue

@@ -1,7 +1,9 @@
 """TIFF files that another hand wrote, damaged ones, and rows without a file."""
 
+import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -71,3 +73,23 @@ def test_measure_of_odd_files(spark):
 def test_shares_of_the_ways_of_storage(spark):
     ways = [next(media_tiff.pages(media_tiff.stored(str(i).encode().ljust(64, b"\0")))).compression for i in range(400)]
     assert all(70 < ways.count(c) < 130 for c in (media_tiff.LZW, media_tiff.PACKBITS, media_tiff.NONE, media_tiff.DEFLATE))
+
+
+@pytest.mark.parametrize("compression", [5, 32773])
+def test_a_hostile_strip_is_not_decoded_to_its_end(compression):
+    data = b"\0" * 3_000_000
+    strip = media_tiff.to_lzw(data) if compression == 5 else b"\x81\0" * 20_000
+    file = by_hand(64, 1, 8, compression, [strip], 1)
+    tracemalloc.start()
+    (page,) = media_tiff.pages(file)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert page.samples.tobytes() == b"\0" * 64 and peak < 20 * len(file) + 500_000
+
+
+def test_all_samples_are_measured(spark):
+    pixels = bytes(range(1, 13))
+    file = by_hand(2, 2, 8, 1, [pixels], 2, [(277, 3, [3])])
+    df = spark.createDataFrame([(1, 12, file)], "doc_id int, n_bytes bigint, media binary")
+    row = media_tiff.measure(df).first()
+    assert (row.payload_bytes, row.payload_sha256) == (12, hashlib.sha256(pixels).hexdigest()) and row.feature.startswith("pages=1 size=6x2 ")
