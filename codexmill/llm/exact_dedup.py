@@ -23,6 +23,8 @@ from .shared import materialize
 BLOCK_BYTES = 8192
 #: More buckets than tasks: a bucket is sorted as one array, of 25 MB or so if there are 100 TB of distinct blocks.
 BUCKETS = 1 << 22
+#: Repeated rows that are made at once.
+SHARE = 1 << 16
 
 
 def _hash(key: str) -> Column:
@@ -53,8 +55,8 @@ def text_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the SHA-256 of the text: it is part of the result, and it tells rows apart that
     share an id. ``copies`` counts repeated rows of equal id and text.
     """
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = docs.select(F.col(id_col).alias("id"), data.alias("data"))
+    data = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), data.alias("data"))
     base = base.select("id", "data", F.octet_length("data").cast("long").alias("n_bytes"))
     last = F.greatest(F.lit(0), F.expr(f"cast((n_bytes - 1) div {block_bytes} as int)"))
     blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("data"), i * block_bytes + 1, F.lit(block_bytes)))
@@ -92,7 +94,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = same.groupBy("n_bytes", "name").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
     groups = materialize(groups, "groups")  # stored, so that the join's shuffles stand alone and a hot group is split
     rows = same.join(groups, ["n_bytes", "name"])
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    # repeated rows come back in shares, so that no row holds an array of them all
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {SHARE}"))).alias("share"))
+    rows = rows.select("*", F.explode(F.sequence(F.col("share") * SHARE + 1, F.least(F.col("share") * SHARE + SHARE, F.col("copies")))).alias("copy"))
     return rows.select(
         F.col("id").alias(id_col), "keep_id", "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),

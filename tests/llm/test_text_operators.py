@@ -420,3 +420,10 @@ def test_exact_dedup(spark, agrees, odd, block, monkeypatch):
     kept = exact_dedup.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == len({t or "" for _, t in [(r[0], r[1]) for r in H.odd_rows()]})
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
+
+
+def test_exact_dedup_of_many_repeats_and_odd_names(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARE", 3)
+    df = spark.createDataFrame([(1, "a")] * 10 + [(2, "a"), (3, "b")] + [(None, "c")] * 3, "`the.id` int, `the.text` string")
+    got = exact_dedup.exact_dedup(df, "the.id", "the.text").collect()
+    assert sorted(((r["the.id"] or 0, r.keep_id or 0, r.group_size, r.kept) for r in got)) == sorted([(1, 2, 11, False)] * 10 + [(2, 2, 11, True), (3, 3, 1, True)] + [(0, 0, 3, False)] * 2 + [(0, 0, 3, True)])
