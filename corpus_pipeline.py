@@ -30,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and keys in texts replaced by pseudonyms; all rows and other columns stay, null texts are null."""
-    return pii.pseudonymize(docs, pii.DEMO_KEY).drop("pii")
+    hits = next(n for k in range(len(docs.columns) + 1) if (n := f"_pii{k}") not in docs.columns)
+    return pii.pseudonymize(docs, pii.DEMO_KEY, hits_col=hits).drop(hits)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
