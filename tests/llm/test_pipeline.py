@@ -39,3 +39,10 @@ def test_stages_by_plain_python(spark):
     key = lambda rows: sorted((p.doc_id, p.start, p.length, p.ids_crc32) for p in rows)
     assert key(corpus_pipeline.run(spark, DATA).collect()) == key(pieces)
     assert [n for n, _ in corpus_pipeline.STAGES][3] == "pii" and pii.DEMO_KEY and zlib
+
+
+def test_pii_stage_keeps_a_column_of_that_name(spark):
+    docs = spark.createDataFrame([(1, "call 1-555-234-4567", "mine"), (2, None, None), (1, "", "x"), (1, "call 1-555-234-4567", "mine")], "doc_id bigint, text string, pii string")
+    out = corpus_pipeline.hide_pii(spark, docs, DATA)
+    rows = sorted((r.doc_id, r.text or "", r.pii or "") for r in out.collect())
+    assert out.columns == docs.columns and [r[0] for r in rows] == [1, 1, 1, 2] and rows[1] == rows[2] and rows[1][2] == "mine" and "234-4567" not in rows[1][1]
