@@ -4,7 +4,7 @@ A trie's inner nodes are the beginnings of words after which the words go on dif
 from one such node to the next, or to a word's end. A state is a word, its place, a node and its edits. States at the
 nodes of a word's own path have none; each tries the other edges with one letter replaced, inserted or deleted, and the
 states that have spent their edit follow matching edges, one join with the edge table for each level, until they
-come to a word's end: a neighbour. Two tries share the work: of the words, for edits in the second half of a word, and of
+come to a word's end: a neighbour. Edges carry a signature of the endings beyond them, so that most states without a neighbour end at once. Two tries share the work: of the words, for edits in the second half of a word, and of
 the words read backwards, for those in the first half. So no state starts near a root, where all words meet.
 """
 
@@ -28,6 +28,8 @@ LEAST_LENGTH, LEAST_COUNT = 7, 2
 TIMES = 10
 #: Rows of prefixes that are handed over at once.
 ROWS = 100_000
+#: An edge has a signature of so many times 64 bits (a power of two): one for the hash of what is left, beyond it, of each word that it leads to.
+SIGNS = 4
 #: Stands after a word's last letter; no letter.
 END = "$"
 
@@ -91,16 +93,31 @@ def _tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     following = F.get("nodes", F.col("k") + 1)
     rest = F.expr("substring(text, node.depth + 1)")
     label = F.when(following.isNull(), rest).otherwise(F.expr("substring(text, node.depth + 1, get(nodes, k + 1).depth - node.depth)"))
+    ending = F.xxhash64(F.expr("substring(text, get(nodes, k + 1).depth + 1)"))
+    signs = [F.when(following.isNotNull() & (_slot(ending) == i), F.call_function("shiftleft", F.lit(1).cast("long"), ending.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")).alias(f"s{i}") for i in range(SIGNS)]
     edges = at.select(
-        F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.substring(rest, 1, 1).alias("first"),
+        *signs, F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.substring(rest, 1, 1).alias("first"),
         F.struct(label.alias("label"), following["a"].alias("to_a"), following["b"].alias("to_b"), F.when(following.isNull(), F.col("word")).alias("near"), F.when(following.isNull(), F.col("n")).alias("near_n")).alias("edge"),
-    ).groupBy("a", "b", "first").agg(F.min("edge").alias("edge")).select("a", "b", "first", "edge.*")
+    ).groupBy("a", "b", "first").agg(F.min("edge").alias("edge"), *[F.bit_or(f"s{i}").alias(f"s{i}") for i in range(SIGNS)]).select("a", "b", "first", "edge.*", *[f"s{i}" for i in range(SIGNS)])
     length = F.length("word")
     half = F.when(F.col("back"), length - F.floor(length / 2)).otherwise(F.floor(length / 2))
     states = at.where(F.col("node.depth") >= half).select("word", "back", rest.alias("rest"), "node.a", "node.b")
     return materialize(edges, "edges"), states
 
 
+def _slot(h: Column) -> Column:
+    return F.shiftright(h, 6).bitwiseAND(F.lit(SIGNS - 1))
+
+
+def _may_end(rest: Column) -> Column:
+    """Whether an edge may lead to a word with that ending: always where it does, seldom else unless very many words lie beyond it."""
+    h = F.xxhash64(rest)
+    sign = F.lit(0).cast("long")
+    for i in range(SIGNS):
+        sign = F.when(_slot(h) == i, F.col(f"s{i}")).otherwise(sign)
+    return F.col("to_a").isNull() | (F.getbit(sign, h.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+
 def neighbours(words: DataFrame) -> DataFrame:
     """(word, near, near_n): all pairs, both ways, of words (wid, word, n) that differ by one inserted, deleted or replaced code point."""
     edges, states = _tries(words)
@@ -117,7 +134,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     deleted = F.when(F.col("label") == F.substring("rest", F.lit(2), m), goes_on(m + 1))
     kept = ["word", "back", "to_a", "to_b", "near", "near_n"]
     live = states.join(edges, ["a", "b"]).where(F.substring("rest", 1, 1) != F.col("first"))
-    live = live.select(*kept, F.explode(F.filter(F.array(replaced, inserted, deleted), lambda x: x.isNotNull())).alias("rest"))
+    live = live.select(*kept, F.explode(F.filter(F.array(replaced, inserted, deleted), lambda x: x.isNotNull() & _may_end(x))).alias("rest"))
     ends = []
     while True:
         live = materialize(live, "frontier")
@@ -125,7 +142,7 @@ def neighbours(words: DataFrame) -> DataFrame:
         live = live.where("to_a is not null").select("word", "back", "rest", F.col("to_a").alias("a"), F.col("to_b").alias("b"), F.substring("rest", 1, 1).alias("first"))
         if live.isEmpty():
             break
-        live = live.join(edges, ["a", "b", "first"]).where(F.col("rest").startswith(F.col("label")) & (~leaf | (F.length("rest") == m)))
+        live = live.join(edges, ["a", "b", "first"]).where(F.col("rest").startswith(F.col("label")) & (~leaf | (F.length("rest") == m)) & _may_end(F.substring("rest", m + 1, F.length("rest"))))
         live = live.select(*kept, F.substring("rest", m + 1, F.length("rest")).alias("rest"))
     found = ends[0]
     for more in ends[1:]:
