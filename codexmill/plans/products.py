@@ -6,6 +6,8 @@ Spark; the SQL computes what has to come out straight from the given tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,16 +146,17 @@ def incremental_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ID = "CASE WHEN o_orderkey % 97 = 0 THEN 'x' ELSE CAST(o_orderkey % 7 + 1 AS VARCHAR) END"
 
 
+_OUTPUTS = ", ".join(f"('{law}', '{name}')" for law, _, name in tables.LAWS)
 _LINKS_SQL = f"""
     WITH l AS (
         SELECT {_LAW_SQL}, CAST(o_custkey AS VARCHAR) AS src, o_orderkey, {_ID} AS "idArticolo", CAST(o_orderkey % 3 + 1 AS VARCHAR) AS "idSottoArticolo", CAST(o_orderkey AS VARCHAR) AS versione,
             CASE WHEN o_orderkey % 2 = 0 THEN '0' ELSE CAST(o_orderkey AS VARCHAR) END AS progressivo FROM orders WHERE o_orderstatus <> 'P'),
     f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY law, src, "idArticolo", "idSottoArticolo" ORDER BY o_orderkey) = 1),
     s(sub, suffix) AS (VALUES ('1', ''), ('2', ' bis'), ('3', ' ter')),
-    o(law, output_name) AS (VALUES ('cds', 'codice_della_strada.json'), ('cap', 'codice_assicurazioni_private.json'))
+    o(law, output_name) AS (VALUES {_OUTPUTS})
     SELECT law, src, "idArticolo", "idSottoArticolo", versione, progressivo, "idArticolo" <> 'x' AS numeric,
         CASE WHEN "idArticolo" <> 'x' THEN 'Art. ' || "idArticolo" || suffix END AS label, CASE WHEN "idArticolo" <> 'x' THEN printf('art_%04d_%s.html', try_cast("idArticolo" AS INT), sub) END AS filename,
-        CASE WHEN "idArticolo" <> 'x' THEN 'https://www.normattiva.it/atto/caricaArticolo?art.versione=' || versione || '&art.idGruppo=4&art.flagTipoArticolo=0&art.codiceRedazionale=092G0306&art.idArticolo=' || "idArticolo"
+        CASE WHEN "idArticolo" <> 'x' THEN '{S.ARTICLE_URL}?art.versione=' || versione || '&art.idGruppo=4&art.flagTipoArticolo=0&art.codiceRedazionale=092G0306&art.idArticolo=' || "idArticolo"
             || '&art.idSottoArticolo=' || sub || '&art.idSottoArticolo1=10&art.dataPubblicazioneGazzetta=1992-05-18+00%3A00&art.progressivo=' || progressivo END AS url,
         CASE WHEN "idArticolo" <> 'x' THEN output_name END AS output_name
     FROM f JOIN s ON sub = "idSottoArticolo" JOIN o USING (law)"""
@@ -235,8 +238,8 @@ _LAYOUT_SQL = """
     assets AS (SELECT doc, page, event_id AS ord, 'n' || event_id % 4 AS name, 'c' || event_id % 5 AS content, 'png' AS ext FROM e WHERE event_type = 'click')"""
 
 
-def layout_of_events(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Layout tables: signups are headers, purchases tables with four rows each, views images and clicks their files; stored and read as a source."""
+def layout_of_events(spark: SparkSession, sf_dir: str, names: Iterable[str] = tables.LAYOUT) -> dict[str, DataFrame]:
+    """Layout tables, those asked for: signups are headers, purchases tables with four rows each, views images and clicks their files; stored and read as a source."""
     folder = new_path(spark, "layout")
     number = F.col("event_id").cast("int")
     events = given(spark, sf_dir, "events").select(_text("u", F.col("user_id")).alias("doc"), (F.col("event_id") % 3 + 1).cast("int").alias("page"), number.alias("ord"), F.col("value").alias("top"), "event_type")
@@ -257,9 +260,9 @@ def layout_of_events(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "images": of("view").select("doc", "page", "ord", (350.0 + F.col("ord") % 4 * 50).cast("double").alias("x0"), "top", _text("n", F.col("ord") % 3).alias("name")),
         "assets": of("click").select("doc", "page", "ord", _text("n", F.col("ord") % 4).alias("name"), F.lit(0).alias("xref"), F.lit("png").alias("ext"), _text("c", F.col("ord") % 5).cast("binary").alias("content")),
     }
-    for name, df in made.items():
-        df.write.parquet(f"{folder}/{name}.parquet")
-    return tables.layout(spark, folder)
+    for name in names:
+        made[name].write.parquet(f"{folder}/{name}.parquet")
+    return tables.layout(spark, folder, names)
 
 
 def question_rows(found: DataFrame) -> DataFrame:
@@ -291,7 +294,7 @@ def quiz_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asset_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each distinct image, as it is read back."""
     folder = new_path(spark, "assets")
-    sinks.write_assets(layout_of_events(spark, sf_dir)["assets"], folder)
+    sinks.write_assets(layout_of_events(spark, sf_dir, ["assets"])["assets"], folder)
     return spark.read.parquet(folder).select("path", "ext", F.col("content").cast("string").alias("content"))
 
 

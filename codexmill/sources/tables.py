@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,6 @@ def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages
 
 
-def layout(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The five layout tables of page documents, stored as Parquet."""
-    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in LAYOUT.items()}
+def layout(spark: SparkSession, folder: str, names: Iterable[str] = LAYOUT) -> dict[str, DataFrame]:
+    """Layout tables of page documents (all five), stored as Parquet."""
+    return {name: spark.read.schema(LAYOUT[name]).parquet(f"{folder}/{name}.parquet") for name in names}
