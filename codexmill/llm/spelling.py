@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,6 +89,7 @@ def _tries(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     paths = steps.join(forks, ["a", "b"]).groupBy("wid", "back").agg(nodes).join(words, "wid")
     text = F.concat(F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word")), F.lit(END))
     paths = materialize(paths.select("word", "n", "back", text.alias("text"), "nodes"), "paths")
+    discard(steps)
     at = paths.select("word", "n", "back", "text", "nodes", F.posexplode("nodes").alias("k", "node"))
     following = F.get("nodes", F.col("k") + 1)
     rest = F.expr("substring(text, node.depth + 1)")
