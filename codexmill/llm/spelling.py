@@ -125,17 +125,23 @@ def neighbours(words: DataFrame) -> DataFrame:
     m = F.length("label")
     leaf = F.col("to_a").isNull()
 
-    def goes_on(used: Column) -> Column:
-        """What is left after so many letters; a leaf must use up all."""
-        return F.when(~leaf | (F.length("rest") == used), F.substring("rest", used + 1, F.length("rest")))
+    def left(used: Column) -> Column:
+        return F.substring("rest", used + 1, F.length("rest"))
+
+    def goes_on(same: Column, used: Column) -> Column:
+        """Whether the letters agree, and what is left after so many may go on; a leaf must use up all."""
+        return same & (~leaf | (F.length("rest") == used)) & _may_end(left(used))
 
     tail = F.expr("substring(label, 2)")
-    replaced = F.when(tail == F.substring("rest", F.lit(2), m - 1), goes_on(m))
-    inserted = F.when(tail == F.substring("rest", F.lit(1), m - 1), goes_on(m - 1))
-    deleted = F.when(F.col("label") == F.substring("rest", F.lit(2), m), goes_on(m + 1))
+    edits = [  # a letter replaced, inserted, deleted
+        (goes_on(tail == F.substring("rest", F.lit(2), m - 1), m), left(m)),
+        (goes_on(tail == F.substring("rest", F.lit(1), m - 1), m - 1), left(m - 1)),
+        (goes_on(F.col("label") == F.substring("rest", F.lit(2), m), m + 1), left(m + 1)),
+    ]
     kept = ["word", "back", "to_a", "to_b", "near", "near_n"]
-    live = states.join(edges, ["a", "b"]).where(F.substring("rest", 1, 1) != F.col("first"))
-    live = live.select(*kept, F.explode(F.filter(F.array(replaced, inserted, deleted), lambda x: x.isNotNull() & _may_end(x))).alias("rest"))
+    # few of the pairs go on, so all is tested before anything is made of them
+    live = states.join(edges, ["a", "b"]).where((F.substring("rest", 1, 1) != F.col("first")) & (edits[0][0] | edits[1][0] | edits[2][0]))
+    live = live.select(*kept, F.explode(F.array_compact(F.array(*[F.when(good, rest) for good, rest in edits]))).alias("rest"))
     ends = []
     while True:
         live = materialize(live, "frontier")
