@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .shared import materialize
 
 PROFILE = 400
 #: N-grams of a language that a task sums up before it sends them.
@@ -195,18 +194,19 @@ def known(docs: DataFrame, trained: Column, text_col: str = "text", lang_col: st
 
     A row goes if its text is null or has no letter, or if its distance to the best profile is over a cut: MARGIN over that of
     99 % of the training rows, held within CUT_BOUNDS, and 1 / sqrt(n) more for a text of n n-grams, as the mean distance of
-    a short text says little. Columns stay as they are, whatever their names; rows are judged once, in a stored
-    copy. Without training rows nothing is known, and all rows go.
+    a short text says little. Columns stay as they are, whatever their names. Nothing is stored: training rows are judged
+    for the cut and again with all others, as a copy with their texts would take the input's disk once more. Without
+    training rows nothing is known, and all rows go.
     """
     read = lambda c: F.col(f"`{c}`")
-    apart = docs.select(F.struct(*[read(c) for c in docs.columns]).alias("row"), read(text_col).alias("text"), (trained & read(lang_col).isNotNull()).alias("trained"))
-    learnt = docs.where(trained).select(read(text_col).alias("text"), read(lang_col).alias("lang"))
-    judged = materialize(predict(apart, learn(learnt), with_ngrams=True).drop("text"), "judged")
-    usual = judged.where("trained and lang_ngrams > 0").agg(F.percentile_approx("lang_distance", USUAL)).first()[0]
+    apart = docs.select(F.struct(*[read(c) for c in docs.columns]).alias("row"), read(text_col).alias("text"))
+    learnt = docs.where(trained & read(lang_col).isNotNull()).select(read(text_col).alias("text"), read(lang_col).alias("lang"))
+    profiles = learn(learnt)
+    usual = predict(learnt.select("text"), profiles, with_ngrams=True).where("lang_ngrams > 0").agg(F.percentile_approx("lang_distance", USUAL)).first()[0]
     least, most = CUT_BOUNDS
     cut = min(max((usual or 0.0) + MARGIN, least), most)
     stay = (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_distance") <= F.lit(cut) + 1 / F.sqrt("lang_ngrams"))
-    return judged.where(stay).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return predict(apart, profiles, with_ngrams=True).where(stay).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

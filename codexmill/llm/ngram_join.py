@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import shingles, words
 from .bpe import chunks
 from .components import Forest, components
-from .shared import materialize
+from .shared import discard, materialize
 
 #: Lists of more classes are long.
 LIST = 16
@@ -347,9 +347,13 @@ def linked(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     least = now.join(main_of(now), "grp").where("comp = main").groupBy("grp", "block").agg(F.min("cls").alias("cls")).groupBy("grp").agg(F.slice(F.sort_array(F.collect_set("cls")), 1, LEADERS).alias("lead"))
     leaders = now.join(least.select("grp", F.explode("lead").alias("cls")), ["grp", "cls"])
     found = found.unionByName(asked(now, leaders.select(*now.columns)))
+    discard(now)
     now = tied(found)
     rest = now.join(main_of(now), "grp").where("comp <> main").select(*now.columns)
-    return components(found.unionByName(asked(now, rest)))
+    out = components(found.unionByName(asked(now, rest)))
+    for sets in (large, now):
+        discard(sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -367,7 +371,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = max(6, int(np.ceil(np.log2(max(1, total / BUCKET)))))
     pairs = materialize(candidates(named, bits, frequent(named, bits, "text"), "text"), "pairs")
     groups = materialize(components(pairs).select(F.col("node").alias("cls"), F.col("component").alias("grp")), "groups")
-    ties = linked(materialize(kept_sets(named, groups, "text"), "sets"), block)
+    discard(pairs)
+    sets = materialize(kept_sets(named, groups, "text"), "sets")
+    ties = linked(sets, block)
+    discard(sets)  # links and components are stored
     of = rows.join(ties.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = of.where("n_shingles > 0").groupBy("component").agg(F.min("id").alias("least"))
     least = materialize(least, "least")  # stored, so that the join's shuffles stand alone and a hot component is split
@@ -387,5 +394,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = jaccard_components(numbered, row, text_col).select(F.col(row).alias("r"), F.col("component_id").alias("c"))
     ids = numbered.select(F.col(row).alias("r"), F.col(f"`{id_col}`").alias("i"))
     first = F.min(F.struct(F.col("i").isNull(), "i", "r"))
-    stay = found.join(ids, "r").groupBy("c").agg(first.alias("s")).select(F.col("s.r").alias(own))
+    # stored, so that its size is known before texts are dealt: below Spark's threshold it is broadcast
+    stay = materialize(found.join(ids, "r").groupBy("c").agg(first.alias("s")).select(F.col("s.r").alias(own)), "stay")
     return numbered.join(stay, numbered[row] == stay[own], "left_semi").select(*[numbered[f"`{c}`"] for c in docs.columns])
