@@ -38,8 +38,9 @@ _PAGE_ENTITIES = ["nbsp", "copy", "middot", "quot", "lt", "gt", "amp"]
 
 
 def _entities(x: str) -> str:
-    for name in _PAGE_ENTITIES:
-        x = f"replace({x}, '&{name};', '{S.ENTITIES[name]}')"
+    """SQL that decodes entities; as in ``decode_entities`` these names, all older ones, need no semicolon if no letter or digit follows."""
+    for name in _PAGE_ENTITIES:  # an underscore is no letter, but \b takes it for one
+        x = rf"regexp_replace({x}, '&{name}(?:;|\b|(_))', '{S.ENTITIES[name]}\1', 'g')"
     return x
 
 
