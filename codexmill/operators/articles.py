@@ -27,10 +27,10 @@ def _commas() -> Column:
     """For every comma its place and its text; the text is null if the comma holds no text span."""
 
     def one(comma: Column) -> Column:
-        body = F.get(M.within(F.col("bodies"), comma), F.lit(0))
-        number = F.get(M.within(F.col("numbers"), comma), F.lit(0))
-        prefix = F.when(number.isNotNull(), F.concat(M.text_of(number, ""), F.lit(" "))).otherwise("")
-        return F.struct(comma["open_i"].alias("open_i"), F.when(body.isNotNull(), F.concat(prefix, M.text_of(body, " "))).alias("text"))
+        first = lambda name: F.get(M.within(F.col(name), comma), F.lit(0))
+        prefix = M.once(first("numbers"), lambda x: F.when(x.isNotNull(), F.concat(M.text_of(x, ""), F.lit(" "))).otherwise(""))
+        text = M.once(first("bodies"), lambda x: F.when(x.isNotNull(), F.concat(prefix, M.text_of(x, " "))))
+        return F.struct(comma["open_i"].alias("open_i"), text.alias("text"))
 
     return F.transform(M.with_class(COMMA), one)
 

@@ -55,27 +55,37 @@ def tokens(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     return raw.select(*keys, F.coalesce("i", F.lit(0)).alias("i"), _kind(text, tag).alias("kind"), tag.alias("tag"), _classes(text).alias("cls"), F.when(~_markup(text), S.strip(S.decode_entities(text))).alias("s"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed a single time, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _step(wanted: Wanted) -> Callable[[Column, Column], Column]:
-    """One token: texts are counted, an opening goes onto the stack, a closing takes off all down to the last opening of its tag.
+    """One token that isn't empty or void: texts are counted, an opening goes onto the stack, a closing takes off all down to the last opening of its tag.
 
     Of what is taken off, the wanted ones are scopes. The stack has its last opening first. A closing without an opening changes nothing.
     """
 
     def step(state: Column, token: Column) -> Column:
-        stack, kind = state["stack"], token["kind"]
-        opening = F.struct(
-            token["tag"].alias("tag"), token["i"].alias("i"), F.when(wanted(token["tag"], token["cls"]), token["cls"]).alias("cls"), state["t"].alias("t"),
-        )
+        t, stack, done, kind = state["t"], state["stack"], state["done"], token["kind"]
+        opening = F.struct(token["tag"].alias("tag"), token["i"].alias("i"), F.when(wanted(token["tag"], token["cls"]), token["cls"]).alias("cls"), t.alias("t"))
+
+        def become(t: Column, stack: Column, done: Column) -> Column:
+            return F.struct(t.alias("t"), stack.alias("stack"), done.alias("done"))
+
+        def closed(x: Column) -> Column:
+            return F.struct(x["i"].alias("open_i"), token["i"].alias("close_i"), x["tag"].alias("tag"), x["cls"].alias("cls"), x["t"].alias("t0"), t.alias("t1"))
+
+        rest = lambda down: F.slice(stack, down + 1, F.size(stack))
+        top = F.get(stack, F.lit(0))
         down = F.array_position(stack["tag"], token["tag"]).cast("int")
-        closed = F.transform(
-            F.filter(F.slice(stack, F.lit(1), down), lambda x: x["cls"].isNotNull()),
-            lambda x: F.struct(x["i"].alias("open_i"), token["i"].alias("close_i"), x["tag"].alias("tag"), x["cls"].alias("cls"), x["t"].alias("t0"), state["t"].alias("t1")),
-        )
-        return F.struct(
-            F.when((kind == "text") & (token["s"] != ""), state["t"] + 1).otherwise(state["t"]).alias("t"),
-            F.when(kind == "open", F.concat(F.array(opening), stack)).when(kind == "close", F.slice(stack, down + 1, F.size(stack))).otherwise(stack).alias("stack"),
-            F.when((kind == "close") & (down > 0), F.concat(state["done"], closed)).otherwise(state["done"]).alias("done"),
-        )
+        taken = F.transform(F.filter(F.slice(stack, F.lit(1), down), lambda x: x["cls"].isNotNull()), closed)
+        return (
+            F.when(kind == "text", become(t + 1, stack, done)).when(kind == "open", become(t, F.concat(F.array(opening), stack), done))
+            # most closings end the last opening, and need no search
+            .when(top["tag"] == token["tag"], become(t, rest(F.lit(1)), F.when(top["cls"].isNotNull(), F.concat(done, F.array(closed(top)))).otherwise(done)))
+            .when(down > 0, become(t, rest(down), F.concat(done, taken))).otherwise(state)
+        )
 
     return step
 
@@ -94,7 +104,7 @@ def outline(pages: DataFrame, keys: list[str], wanted: Wanted, html: str = "html
     )
     rows = rows.withColumn("_tokens", F.transform("_raw", one)).drop("_raw")
     start = F.struct(F.lit(0).alias("t"), F.array().cast("array<struct<tag:string,i:int,cls:array<string>,t:int>>").alias("stack"), F.array().cast(f"array<{SCOPE}>").alias("done"))
-    rows = rows.withColumn("_end", F.aggregate("_tokens", start, _step(wanted)))
+    rows = rows.withColumn("_end", F.aggregate(F.filter("_tokens", lambda x: x["kind"].isin("open", "close") | (x["s"] != "")), start, _step(wanted)))
     null = F.lit(None).cast("int")
     unclosed = F.transform(
         F.filter("_end.stack", lambda x: x["cls"].isNotNull()), lambda x: F.struct(x["i"].alias("open_i"), null.alias("close_i"), x["tag"].alias("tag"), x["cls"].alias("cls"), x["t"].alias("t0"), null.alias("t1"))
@@ -130,5 +140,9 @@ def within(inner: Column, outer: Column) -> Column:
 
 def text_of(scope: Column, sep: str) -> Column:
     """A scope's stripped strings, empty ones left out, joined by ``sep``; null if there is no scope."""
-    size = F.coalesce(scope["t1"], F.size("texts")) - scope["t0"]
-    return F.array_join(F.slice(F.col("texts"), (scope["t0"] + 1).cast("int"), size.cast("int")), sep)
+
+    def joined(x: Column) -> Column:
+        size = F.coalesce(x["t1"], F.size("texts")) - x["t0"]
+        return F.array_join(F.slice(F.col("texts"), (x["t0"] + 1).cast("int"), size.cast("int")), sep)
+
+    return once(scope, joined)
