@@ -57,10 +57,13 @@ def article_links(pages: DataFrame, keys: list[str], html: str = "html") -> Data
 
 
 def split_numeric(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links whose ids are integers, in order; the others, for quarantine)."""
+    """(links whose ids are integers, in order; the others, for quarantine).
+
+    Links with equal ids are in the order of their columns from left to right, so that none of the few pairs of ids is one task's work.
+    """
     a, b = F.col("idArticolo").try_cast("int"), F.col("idSottoArticolo").try_cast("int")
     good = a.isNotNull() & b.isNotNull()
-    return links.where(good).orderBy(a, b), links.where(~good)
+    return links.where(good).orderBy(a, b, *links.columns), links.where(~good)
 
 
 def with_names(links: DataFrame, laws: DataFrame, more_suffixes: bool = False) -> DataFrame:

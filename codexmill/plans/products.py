@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import articles, crawl, links, quiz
 from ..sources import sinks, tables
-from ..sources.shared import new_path
+from ..sources.shared import new_path, stored
 from ..sources.tables import given
 from ..streaming import incremental
 from .driver import HEADER_SQL, query
@@ -32,13 +32,23 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+#: Least number of parts that derived pages are dealt into by key. Parsing is work by row, so what counts is rows, not the few bytes
+#: they take when compressed, by which adaptive execution would put them into one or two tasks.
+PARTS = 64
+
+
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def law_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(law, filename, url, html): an article page for every order, a comma for each of its lines; an order without lines gives no article."""
     part, number = F.col("l_partkey"), F.col("l_linenumber")
     body = F.when(F.col("l_returnflag") == "R", _text("<i>", part, "</i>")).otherwise(_text('<span class="art_text_in_comma">part&nbsp;', part, " <b>", F.col("l_quantity").cast("long"), "</b></span>"))
     comma = _text('<div class="art-comma-div-akn"><span class="comma-num-akn">', number, ".</span>", body, "</div>\r\n")
     commas = F.array_sort(F.collect_list(F.struct(*_LINE_ORDER, comma.alias("html"))))
-    per_order = given(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(commas, lambda x: x["html"]), "").alias("commas"))
+    lines = _dealt(given(spark, sf_dir, "lineitem").select("l_orderkey", *_LINE_ORDER, "l_returnflag"), "l_orderkey")
+    per_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(commas, lambda x: x["html"]), "").alias("commas"))
     priority = F.col("o_orderpriority")
     number = _text('<h2 class="article-num-akn">Art.&nbsp;', F.col("o_orderkey"), F.when(priority == "5-LOW", "-bis").otherwise(""), "</h2>")
     heading = _text('<div class="article-heading-akn">((', priority, ") )</div>")
@@ -46,7 +56,7 @@ def law_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     repealed = F.when(priority == "1-URGENT", '<p class="art_abrogato-akn">gone</p>').when(priority == "2-HIGH", "<p>(Comma ABROGATO)</p>").otherwise("")
     html = F.when(F.col("commas").isNull(), _text("<p>no article ", F.col("o_orderkey"), "</p>")).otherwise(_text("<html><body>\r\n", number, heading, preamble, F.col("commas"), repealed, "</body></html>"))
     file = S.file_name(F.col("o_orderkey").cast("string"), F.lit("1"))
-    pages = given(spark, sf_dir, "orders").join(per_order, "o_orderkey", "left")
+    pages = _dealt(given(spark, sf_dir, "orders"), "o_orderkey").join(per_order, "o_orderkey", "left")
     return pages.select(_law(), file.alias("filename"), _text("u/", file).alias("url"), html.alias("html"))
 
 
@@ -85,7 +95,7 @@ def rejected_commas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def article_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written by law, and those of one law written again, as they are read back."""
     folder = new_path(spark, "articles")
-    records = articles.parse(articles.split_valid(law_pages(spark, sf_dir))[0], KEYS)
+    records = stored(articles.parse(articles.split_valid(law_pages(spark, sf_dir))[0], KEYS), "records")  # parsed once for both writes
     sinks.write_articles(records, folder)
     sinks.write_articles(records.where("law = 'cds'"), folder)
     return _digest(spark.read.schema(records.schema).json(folder))
@@ -170,12 +180,13 @@ def law_contents(orders: DataFrame) -> DataFrame:
         F.when(key % 97 == 0, "x").otherwise((key % 7 + 1).cast("string")), "&art.idSottoArticolo=", key % 3 + 1, "&art.idSottoArticolo=9&art.idSottoArticolo1=10&art.dataPubblicazioneGazzetta=1992-05-18%2000%3A00",
         F.when(key % 2 == 0, "&art.progressivo=&").otherwise(_text("&art.progressivo=", key)), "\">x</a>",
     )
-    toc = orders.groupBy(_law(), F.col("o_custkey").cast("string").alias("src")).agg(F.array_sort(F.collect_list(F.struct(key, one.alias("a")))).alias("all"))
+    rows = _dealt(orders.select(_law(), F.col("o_custkey").cast("string").alias("src"), "o_orderkey", "o_orderstatus"), "law", "src")
+    toc = rows.groupBy("law", "src").agg(F.array_sort(F.collect_list(F.struct(key, one.alias("a")))).alias("all"))
     return toc.select("law", "src", F.array_join(F.transform("all", lambda x: x["a"]), "\n").alias("html"))
 
 
 def _named_links(found: DataFrame) -> DataFrame:
-    good, bad = links.split_numeric(found)
+    good, bad = links.split_numeric(stored(found, "found-links"))  # numeric ones and others are two readings, and the order takes a sample
     named = links.with_names(good, tables.laws(found.sparkSession)).withColumn("numeric", F.lit(True)).unionByName(bad.withColumn("numeric", F.lit(False)), allowMissingColumns=True)
     return named.select("law", "src", "idArticolo", "idSottoArticolo", "versione", "progressivo", "numeric", "label", "filename", "url", "output_name")
 
