@@ -28,6 +28,8 @@ from .bpe import chunks
 PROFILE = 400
 #: N-grams of a language that a task sums up before it sends them.
 HELD = 200_000
+#: Bytes of text that are ranked at a time: n-grams and their sorts take some 200 bytes for each letter.
+CHUNK_BYTES = 1 << 18
 UNDETERMINED = "und"
 #: A document is in no known language if its distance is over that of 99 % of the training rows, and MARGIN more ...
 USUAL = 0.99
@@ -160,11 +162,11 @@ def rank(texts: list[str], profiles: Profiles, size: int = PROFILE) -> tuple[lis
     return langs, np.where(some, np.clip(score, 0, 1), 0.0), least, ranked
 
 
-def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", with_ngrams: bool = False) -> DataFrame:
+def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", with_ngrams: bool = False, text: Column | None = None) -> DataFrame:
     """``docs`` with lang_pred, lang_score (0 to 1) and lang_distance (0 to 1), and lang_ngrams (distinct ones ranked, PROFILE at most) if asked for.
 
     A text that is null or has no letter is ``und`` with score 0, distance 1 and no n-grams. Ties
-    go to the language first in alphabetical order. Rows are handled where they are read;
+    go to the language first in alphabetical order. ``text``, if given, stands for the column of texts. Rows are handled where they are read;
     all other columns pass through, but for old columns of the names added.
     """
     added = ["lang_pred", "lang_score", "lang_distance"] + ["lang_ngrams"] * with_ngrams
@@ -175,7 +177,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", with_ng
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
             table = pa.RecordBatch.from_pydict({"text": pa.array(series, pa.string())})
-            parts = [rank(t, sent.value) for _, t in chunks(table)]
+            parts = [rank(t, sent.value) for _, t in chunks(table, size=CHUNK_BYTES)]
             yield pd.DataFrame({
                 "lang_pred": [x for p in parts for x in p[0]],
                 "lang_score": np.concatenate([p[1] for p in parts] or [[]]),
@@ -185,7 +187,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", with_ng
 
     judge = F.pandas_udf(run, "lang_pred string, lang_score double, lang_distance double, lang_ngrams bigint")
     struct = next(n for k in range(len(rest.columns) + 1) if (n := f"_lang{k}") not in rest.columns)
-    judged = rest.withColumn(struct, judge(F.col(f"`{text_col}`")))
+    judged = rest.withColumn(struct, judge(F.col(f"`{text_col}`") if text is None else text))
     return judged.select(*[F.col(f"`{c}`") for c in rest.columns], *[F.col(f"{struct}.{c}") for c in added])
 
 
@@ -199,14 +201,14 @@ def known(docs: DataFrame, trained: Column, text_col: str = "text", lang_col: st
     training rows nothing is known, and all rows go.
     """
     read = lambda c: F.col(f"`{c}`")
-    apart = docs.select(F.struct(*[read(c) for c in docs.columns]).alias("row"), read(text_col).alias("text"))
+    apart = docs.select(F.struct(*[read(c) for c in docs.columns]).alias("row"))  # the text is in it once: rows wait in memory while texts are judged
     learnt = docs.where(trained & read(lang_col).isNotNull()).select(read(text_col).alias("text"), read(lang_col).alias("lang"))
     profiles = learn(learnt)
     usual = predict(learnt.select("text"), profiles, with_ngrams=True).where("lang_ngrams > 0").agg(F.percentile_approx("lang_distance", USUAL)).first()[0]
     least, most = CUT_BOUNDS
     cut = min(max((usual or 0.0) + MARGIN, least), most)
     stay = (F.col("lang_pred") != UNDETERMINED) & (F.col("lang_distance") <= F.lit(cut) + 1 / F.sqrt("lang_ngrams"))
-    return predict(apart, profiles, with_ngrams=True).where(stay).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return predict(apart, profiles, with_ngrams=True, text=F.col("row").getField(text_col)).where(stay).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
