@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,18 +173,15 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", with_ng
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(profiles)  # PROFILE codes for each language
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in texts:
-            table = pa.RecordBatch.from_pydict({"text": pa.array(series, pa.string())})
-            parts = [rank(t, sent.value) for _, t in chunks(table, size=CHUNK_BYTES)]
-            yield pd.DataFrame({
-                "lang_pred": [x for p in parts for x in p[0]],
-                "lang_score": np.concatenate([p[1] for p in parts] or [[]]),
-                "lang_distance": np.concatenate([p[2] for p in parts] or [[]]),
-                "lang_ngrams": np.concatenate([p[3] for p in parts] or [np.zeros(0, np.int64)]),
-            })
-
-    judge = F.pandas_udf(run, "lang_pred string, lang_score double, lang_distance double, lang_ngrams bigint")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [rank(t, sent.value) for _, t in chunks(pa.RecordBatch.from_arrays([column], ["text"]), size=CHUNK_BYTES)]
+            fields = [pa.array([x for p in parts for x in p[0]], pa.string())]
+            fields += [pa.array(np.concatenate([p[k] for p in parts] or [np.zeros(0)]), kind) for k, kind in ((1, pa.float64()), (2, pa.float64()), (3, pa.int64()))]
+            yield pa.StructArray.from_arrays(fields, ["lang_pred", "lang_score", "lang_distance", "lang_ngrams"])
+
+    # called nondeterministic, or Spark would copy it into a filter on its columns and rank each text twice, in two workers a task
+    judge = F.arrow_udf(run, "lang_pred string, lang_score double, lang_distance double, lang_ngrams bigint").asNondeterministic()
     struct = next(n for k in range(len(rest.columns) + 1) if (n := f"_lang{k}") not in rest.columns)
     judged = rest.withColumn(struct, judge(F.col(f"`{text_col}`") if text is None else text))
     return judged.select(*[F.col(f"`{c}`") for c in rest.columns], *[F.col(f"{struct}.{c}") for c in added])

@@ -134,6 +134,17 @@ def test_unknown_languages_go(spark):
     assert langid.known(df.limit(0), F.lit(True)).count() == 0 and langid.known(df, F.lit(False)).count() == 0
 
 
+def test_texts_are_ranked_once(spark):
+    """A filter on what a prediction gives doesn't rank the texts again, neither in the stage's two jobs."""
+    df = spark.createDataFrame([(k, "the river runs " * (k + 1), "en") for k in range(8)] + [(8, "12", None), (9, None, "en")], "doc_id int, text string, lang string")
+    profiles = langid.learn(df.where("lang is not null"))
+    usual = langid.predict(df.select("text"), profiles, with_ngrams=True).where("lang_ngrams > 0").agg(F.percentile_approx("lang_distance", 0.5))
+    judged = langid.predict(df, profiles).where("lang_pred <> 'und'").select("doc_id", "lang_pred", "lang_distance")
+    for out in (usual, judged, langid.known(df, F.lit(True))):
+        assert out._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    assert sorted(r.doc_id for r in judged.collect()) == [*range(8)] and usual.first()[0] is not None
+
+
 def test_ngrams_by_brute_force():
     from collections import Counter
 
