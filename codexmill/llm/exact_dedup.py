@@ -110,8 +110,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of several rows with that id and text one stays, whole. A null text counts as empty; a row with a null id stays
     only if its whole group has null ids.
     """
-    sha = next(n for k in range(len(docs.columns) + 1) if (n := f"_sha{k}") not in docs.columns)
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(f"`{id_col}`").alias("_i"), F.unhex("text_sha256").alias("_s"))
-    marked = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256)))
-    joined = marked.join(kept, marked[f"`{id_col}`"].eqNullSafe(kept["_i"]) & (marked[sha] == kept["_s"]), "left_semi")
-    return joined.dropDuplicates([id_col, sha]).drop(sha)
+    # rows and kept ones meet by one key, a struct, whose nulls are equal: dealt by it once, texts aren't dealt again for repeated rows
+    key = next(n for k in range(len(docs.columns) + 1) if (n := f"_key{k}") not in docs.columns)
+    sha = F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.struct(F.col(f"`{id_col}`").alias("i"), F.unhex("text_sha256").alias("s")).alias("_k"))
+    marked = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("i"), sha.alias("s")))
+    once = marked.dropDuplicates([key])  # each task drops its repeated rows before it deals any
+    return once.join(kept, once[key] == kept["_k"], "left_semi").drop(key)

@@ -105,3 +105,12 @@ def test_quality_model_by_brute_force(spark):
     # isotonic regression by its min-max form
     best = [max(min(np.average(level[i : j + 1], weights=weight[i : j + 1]) for j in range(m, len(found))) for i in range(m + 1)) for m in range(len(found))]
     assert np.allclose(np.unique(np.round(best, 9)), np.unique(np.round(model.levels, 9)))
+
+
+def test_texts_are_dealt_once_for_the_kept_rows(spark):
+    """Kept rows and repeated ones are found with one shuffle of the texts; null ids and repeated rows come out once."""
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "a", "y"), (None, "a", "z"), (None, "b", "p"), (None, "b", "p"), (3, None, "q"), (4, "", "r"), (5, "c", "s")], "doc_id int, text string, source string")
+    out = exact_dedup.keep_one(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in out.collect()) == [(0, "b", "p"), (2, "a", "y"), (4, "", "r"), (5, "c", "s")]
+    assert plan.count("Exchange hashpartitioning(_key") == 1 and "hashpartitioning(doc_id" not in plan and "hashpartitioning(coalesce(doc_id" not in plan
