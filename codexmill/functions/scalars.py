@@ -17,7 +17,8 @@ ARTICLE_URL = "https://www.normattiva.it/atto/caricaArticolo"
 
 # Fixed value: the header of a question, with its number and its topic; (?U) lets \s and \d be those of Unicode.
 HEADER = r"(?U)Quesito\s+n.?\s*(\d+)\s*[-–]\s*(.+)"
-_EDGES = r"(?U)^\s+|\s+$"
+#: White space of Unicode.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
 #: Names of HTML entities and what they stand for: those that end in a semicolon, and the older ones that need none.
@@ -32,7 +33,7 @@ _C1 = [bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)]
 
 def strip(c: Column) -> Column:
     """Without white space (also no-break spaces) at both ends."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.trim(c, F.lit(_WHITE))
 
 
 def _look_up(entries: dict[str, str], name: Column) -> Column:

@@ -45,12 +45,12 @@ def parse(pages: DataFrame, keys: list[str]) -> DataFrame:
     mention = F.coalesce(F.contains(F.lower("html"), F.lit(REPEALED)), F.lit(False))
     found = M.outline(pages.withColumn("_mention", mention), keys, M.any_class(*_ALL), carry=("url", "_mention"))
     found = found.withColumns({"bodies": M.with_class(COMMA_TEXT), "numbers": M.with_class(COMMA_NUMBER)})
-    found = found.withColumn("commas", _commas())
 
     def first_text(cls: str, sep: str) -> Column:
         return F.coalesce(M.text_of(F.get(M.with_class(cls), F.lit(0)), sep), F.lit(""))
 
-    title = F.trim(first_text(HEADING, ""), F.lit("().")).alias("title")
+    title = F.col("title")
+    found = found.withColumns({"commas": _commas(), "title": F.trim(first_text(HEADING, ""), F.lit("()."))})
     texts = F.transform(F.filter("commas", lambda x: x["text"].isNotNull()), lambda x: x["text"])
     rejected = F.transform(F.filter("commas", lambda x: x["text"].isNull()), lambda x: x["open_i"])
     return found.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codexmill.operators import articles, links
+from codexmill.operators import articles, links, markup
 from codexmill.plans import products
 from codexmill.sources.tables import given
 
@@ -46,3 +46,25 @@ def test_nested_closings_and_many_commas(spark):
     page = spark.createDataFrame([("cds", "f", "u", html)], "law string, filename string, url string, html string")
     (r,) = articles.parse(page, products.KEYS).collect()
     assert r.paragraphs == [f"{k}. a b {k}" for k in range(40)] and len(r.rejected) == 1
+
+
+def test_a_fold_has_few_steps(spark, monkeypatch):
+    """Elements that nest are paired before the fold, so its steps are those of outer and of mis-nested elements."""
+    seen = []
+    step = markup._step
+    comma = '<div class="art-comma-div-akn"><span class="comma-num-akn">1.</span><p><b>x</b></div>'
+    page = spark.createDataFrame([("f", '<h2 class="article-num-akn">Art. 7</h2>' + comma * 50)], "filename string, html string")
+    monkeypatch.setattr(markup, "_step", lambda state, entry: F.struct(state["stack"].alias("stack"), F.concat(state["done"], entry).alias("done")))
+    plain = markup.outline(page, ["filename"], markup.any_class(*articles._ALL))
+    assert plain.select(F.size("scopes").alias("n")).first().n == 51  # the pairs, without a fold; commas hold a "p" that isn't closed
+    monkeypatch.setattr(markup, "_step", lambda state, entry: (seen.append(1), step(state, entry))[1])
+    (r,) = markup.outline(page, ["filename"], markup.any_class(*articles._ALL)).collect()
+    assert seen and len(r.scopes) == 101 and [s.close_i for s in r.scopes if "art-comma-div-akn" in s.cls] == [11 + 9 * k for k in range(50)]
+
+
+def test_long_tags_and_open_quotes(spark):
+    long = "<a href='" + "x" * 50000 + "'>y</a>"
+    rows = [(1, f"<ul>{long}</ul>"), (2, '<ul>a<b title="c>d</b></ul>'), (3, "a < b <ul>c</ul>"), (4, '<ul title="x>y">z</ul>')]
+    found = markup.outline(spark.createDataFrame(rows, "k int, html string"), ["k"], markup.any_tag("ul"))
+    got = {r.k: r.t for r in found.select("k", F.transform("scopes", lambda x: markup.text_of(x, "+")).alias("t")).collect()}
+    assert got == {1: ["y"], 2: ['a+b title="c>d'], 3: [], 4: ["z"]}
