@@ -51,7 +51,7 @@ def _keys(spark: SparkSession, out: str, parts: list[str], schema: str) -> DataF
 
 
 def append_new(rows: DataFrame, keys: list[str], out: str, make: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    """Append ``make`` of those rows whose keys the table at ``out`` doesn't hold; ``rows`` has each key once, and ``make`` keeps keys.
+    """Append ``make`` of those rows whose keys the table at ``out`` doesn't hold; ``make`` keeps keys and gives each once, as ``rows`` has them if it is left out.
 
     Null keys count as equal. Records are written first, then their keys, then the commit that names both.
     """
@@ -114,9 +114,15 @@ def extract_articles(pages: DataFrame, out: str, checkpoint: str) -> StreamingQu
     """
 
     def one(batch: DataFrame) -> None:
-        valid, _ = articles.split_valid(batch)
-        first = valid.groupBy(*KEYS).agg(F.min(F.struct("url", "html")).alias("page")).select(*KEYS, "page.*")
-        append_new(first, KEYS, out, lambda fresh: articles.parse(fresh, KEYS))
+        parts = batch.rdd.getNumPartitions()
+
+        def made(fresh: DataFrame) -> DataFrame:
+            # after the held keys are gone, so that texts of pages that are at hand aren't dealt and sorted for this; into as many parts
+            # as the batch was read in, since adaptive execution puts pages together by their compressed bytes, and parsing is work by row
+            first = fresh.repartition(parts, *KEYS).groupBy(*KEYS).agg(F.min(F.struct("url", "html")).alias("page")).select(*KEYS, "page.*")
+            return articles.parse(first, KEYS)
+
+        append_new(articles.split_valid(batch)[0], KEYS, out, made)
 
     return _stream(pages, one, checkpoint)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codexmill.operators import articles, links, markup
 from codexmill.plans import products
 from codexmill.sources.tables import given
+from codexmill.streaming import incremental
 
 from .conftest import DATA
 
@@ -68,3 +69,20 @@ def test_long_tags_and_open_quotes(spark):
     found = markup.outline(spark.createDataFrame(rows, "k int, html string"), ["k"], markup.any_tag("ul"))
     got = {r.k: r.t for r in found.select("k", F.transform("scopes", lambda x: markup.text_of(x, "+")).alias("t")).collect()}
     assert got == {1: ["y"], 2: ['a+b title="c>d'], 3: [], 4: ["z"]}
+
+
+def test_held_pages_go_before_texts_are_grouped(spark, tmp_path, monkeypatch):
+    """A page of a key that is held isn't sorted by its text, and of several new ones in a batch the least stays."""
+    out, seen = str(tmp_path / "out"), []
+    page = '<h3 class="article-num-akn">Art. {}</h3>'
+
+    def run(rows, name):
+        spark.createDataFrame([("cap", f, "u", h) for f, h in rows], "law string, filename string, url string, html string").write.parquet(str(tmp_path / name))
+        incremental.extract_articles(incremental.page_tables(spark, str(tmp_path / name)), out, str(tmp_path / f"{name}-log")).awaitTermination()
+
+    run([("a", page.format(2)), ("a", page.format(1))], "one")
+    real = articles.parse
+    monkeypatch.setattr(incremental.articles, "parse", lambda pages, keys: (seen.append(pages._jdf.queryExecution().optimizedPlan().toString()), real(pages, keys))[1])
+    run([("a", page.format(0)), ("b", page.format(4)), ("b", page.format(3)), ("b", page.format(3))], "two")
+    assert sorted((r.filename, r.number) for r in incremental.records(spark, out).collect()) == [("a", "1"), ("b", "3")]
+    assert seen and seen[0].index("Aggregate") < seen[0].index("Join LeftAnti")  # the plan has the last step first
